@@ -231,23 +231,22 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Values of distinct byte strings, kept between chunks: for each string a run of int32. At `most` strings it starts anew."""
+    """Values of distinct byte strings, kept between chunks: some columns for each string. At `most` strings it starts anew."""
 
-    def __init__(self, most: int = 1_500_000):
-        self.most, self.words, self.offsets, self.values = most, pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.int32)
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.words, self.columns = most, pa.array([], pa.large_binary()), None
 
-    def look_up(self, words_: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, values) for the words, by make() for those that are new."""
+    def look_up(self, words_: pa.Array, make: Callable[[pa.Array], list[pa.Array]]) -> tuple[np.ndarray, list[pa.Array]]:
+        """(row of each word, columns), by make() for words that are new."""
         if len(self.words) > self.most:
-            self.__init__(self.most)
+            self.words, self.columns = pa.array([], pa.large_binary()), None
         at = pc.index_in(words_, value_set=self.words)
-        if at.null_count:
+        if at.null_count or self.columns is None:
             new = words_.filter(pc.is_null(at))
-            offsets, values = make(new)
+            made, old = make(new), len(self.words)
             self.words = pa.concat_arrays([self.words, new])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-            self.values = np.concatenate([self.values, values.astype(np.int32)])
-            at = pc.index_in(words_, value_set=self.words)
-        at = at.to_numpy(zero_copy_only=False)
-        sizes = np.diff(self.offsets)[at]
-        return np.append(0, np.cumsum(sizes)), self.values[ranges(self.offsets[at], sizes)]
+            self.columns = made if self.columns is None else [pa.concat_arrays([a, b]) for a, b in zip(self.columns, made)]
+            rows = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            rows[pc.is_null(at).to_numpy(zero_copy_only=False)] = old + np.arange(len(new))
+            return rows, self.columns
+        return at.to_numpy().astype(np.int64), self.columns

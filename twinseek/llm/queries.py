@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinseek.llm import simhash
+from twinseek.llm import bpe, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
+    "op4_token_orc": token_orc.query,
+    "op8_duckdb_bpe": bpe.query,
 }
 ORACLE_SQL: dict[str, str] = {}

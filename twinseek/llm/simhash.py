@@ -110,7 +110,7 @@ def links(classes: DataFrame, spark: SparkSession, radius: int = 2, tile: int =
         """Every tile once to each pair of tiles that it is in."""
         parts = spread.value
         for batch in batches:
-            cell, part = batch.column("cell").to_numpy(), batch.column("part").to_numpy()
+            cell, part = (batch.column(k).to_numpy().astype(np.int64) for k in ("cell", "part"))
             for i in range(batch.num_rows):
                 mine = np.array([cell[i] // 17**k % 17 for k in range(4)])
                 others = mine + near
