@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinseek.llm import bpe, simhash, token_orc
+from twinseek.llm import bpe, jpeg, language, simhash, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
     "op4_token_orc": token_orc.query,
+    "op7_jpeg": jpeg.query,
     "op8_duckdb_bpe": bpe.query,
+    "op9_language": language.query,
 }
 ORACLE_SQL: dict[str, str] = {}
