@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinseek.llm import bpe, jpeg, language, simhash, token_orc
+from twinseek.llm import bpe, jpeg, language, neighbours, simhash, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
+    "op2_toxicity": toxicity.query,
+    "op3_neighbours": neighbours.query,
     "op4_token_orc": token_orc.query,
     "op7_jpeg": jpeg.query,
     "op8_duckdb_bpe": bpe.query,
