@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinseek.llm import bpe, jpeg, language, neighbours, simhash, token_orc, toxicity
+from twinseek.llm import bpe, jpeg, language, maxent, neighbours, simhash, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.query,
@@ -16,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jpeg": jpeg.query,
     "op8_duckdb_bpe": bpe.query,
     "op9_language": language.query,
+    "op10_maxent": maxent.query,
 }
 ORACLE_SQL: dict[str, str] = {}

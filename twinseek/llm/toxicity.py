@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-Words are hashed to buckets with an embedding each; filters over one, two and three words are pooled by their maximum over
+Words, and their first four and six bytes, are hashed to buckets with an embedding each, whose sum is the word's; filters over one, two and three words are pooled by their maximum over
 the whole text; a logistic layer gives the score. It is trained in numpy on a bounded sample of labelled rows. Cut-offs are
 calibrated by the language that a text's commonest function words tell, and moved to 0.5.
 """
@@ -19,8 +19,10 @@ from twinseek.llm.shared import table
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 #: Labelled rows that the model is fitted on, at most: those of least hash. Words of one of them, at most.
-SAMPLE, SAMPLE_WORDS = 4000, 20_000
-EPOCHS, BATCH, SEED = 12, 64, 42
+SAMPLE, SAMPLE_WORDS = 8000, 20_000
+EPOCHS, BATCH, SEED = 8, 64, 42
+#: Bytes of a word's beginning that are hashed beside the word, so that unseen forms of a stem are known.
+STEMS = (4, 6)
 #: Common function words of four languages.
 FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine zu mit den von",
@@ -31,9 +33,11 @@ FUNCTION_WORDS = {
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, each text's first word). Words are runs of letters, digits and non-ASCII characters, A-Z lowered."""
+    """(buckets of each word, each text's first word). Words are runs of letters, digits and non-ASCII characters, A-Z lowered."""
     data, at, doc = words(*text_bytes(texts), marks())
-    return (xxh64(data, at[:-1], np.diff(at)) & np.uint64(BUCKETS - 1)).astype(np.int32), doc
+    sizes = np.diff(at)
+    hashes = [xxh64(data, at[:-1], sizes), *(xxh64(data, at[:-1], np.minimum(sizes, n), n) for n in STEMS)]
+    return np.column_stack([(h & np.uint64(BUCKETS - 1)).astype(np.int32) for h in hashes]), doc
 
 
 def languages() -> np.ndarray:
@@ -43,7 +47,7 @@ def languages() -> np.ndarray:
     for k, text in enumerate(FUNCTION_WORDS.values(), 1):
         own = [w for w in text.split() if all_words.count(w) == 1]
         ids, _ = buckets(pa.array([" ".join(own)]))
-        out[ids] = k
+        out[ids[:, 0]] = k
     return out
 
 
@@ -62,7 +66,7 @@ class Model:
         """Each text's largest value of each filter, 0 at least; with where, also the word at which it is (-1: none)."""
         n = len(doc) - 1
         values, places = np.zeros((n, FILTERS * len(WIDTHS)), np.float32), np.full((n, FILTERS * len(WIDTHS)), -1, np.int64)
-        vectors = self.embedding[ids]
+        vectors = sum(self.embedding[ids[:, j]] for j in range(ids.shape[1]))
         sizes = np.diff(doc)
         for k, w in enumerate(WIDTHS):
             full = np.flatnonzero(sizes >= w)
@@ -133,10 +137,10 @@ class Model:
                     at, g = places[i, k * FILTERS + f], back[i, k * FILTERS + f]
                     grad, rows, vectors = np.zeros_like(self.filters[w]), [], []
                     for j in range(w):
-                        e = self.embedding[ids[at + j]]
+                        e = self.embedding[ids[at + j]].sum(1)
                         np.add.at(grad[j].T, f, g[:, None] * e)
-                        rows.append(ids[at + j])
-                        vectors.append(g[:, None] * self.filters[w][j][:, f].T)
+                        rows.append(ids[at + j].ravel())
+                        vectors.append(np.repeat(g[:, None] * self.filters[w][j][:, f].T, ids.shape[1], axis=0))
                     rows, back_to = np.unique(np.concatenate(rows), return_inverse=True)
                     to = np.zeros((len(rows), DIMS), np.float32)
                     np.add.at(to, back_to, np.concatenate(vectors))
@@ -147,7 +151,7 @@ class Model:
 
     def spoken(self, ids: np.ndarray, doc: np.ndarray, table_: np.ndarray) -> np.ndarray:
         """The number of the language of which a text has most function words; 0 without any."""
-        kinds = table_[ids]
+        kinds = table_[ids[:, 0]]
         counts = np.zeros((len(doc) - 1, len(FUNCTION_WORDS) + 1))
         owner = np.repeat(np.arange(len(doc) - 1), np.diff(doc))
         np.add.at(counts, (owner[kinds > 0], kinds[kinds > 0]), 1)
@@ -204,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     if not rows:
         return None
-    texts, y = [np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows])
+    texts, y = [np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, 1 + len(STEMS)) for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows])
     order = np.random.default_rng(SEED).permutation(len(rows))
     cut = len(rows) // 4
     model = Model()
