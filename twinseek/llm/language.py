@@ -183,8 +183,8 @@ def train(docs: DataFrame, path: str, train_where, sample: int = SAMPLE) -> tupl
     return names, vocabulary(path).learn(np.frombuffer(data.tobytes(), "<u4"), at // 4, table_)
 
 
-def predict(docs: DataFrame, path: str, names: list[str], chances: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, and the columns to keep: the likeliest language of the whole text.
+def predict(docs: DataFrame, path: str, names: list[str], chances: np.ndarray, keep: tuple[str, ...] = (), text_too: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, and the columns to keep, with text_too the text (null: empty): the likeliest language of the whole text.
 
     The score is its share if all languages are as likely beforehand. Null texts, texts without a letter, and all texts
     where nothing could be learned, are `und` with score 0. Of equally likely languages the first by name is taken.
@@ -214,16 +214,16 @@ def predict(docs: DataFrame, path: str, names: list[str], chances: np.ndarray, k
             best = total.argmax(1) if names else np.zeros(part.num_rows, np.int64)
             score = np.where(sure, 1 / np.exp(total - total.max(1, initial=-np.inf, keepdims=True)).sum(1), 0) if names else np.zeros(part.num_rows)
             out = {"doc_id": part.column("doc_id"), "lang_pred": pa.array([names[b] if s else "und" for b, s in zip(best, sure)], pa.string()), "score": pa.array(score)}
-            yield pa.record_batch(out | {k: part.column(k) for k in keep})
+            yield pa.record_batch(out | ({"text": part.column("text").cast(pa.string())} if text_too else {}) | {k: part.column(k) for k in keep})
 
     kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + "".join(f", {k} {kinds[k]}" for k in keep))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", text string" * text_too + "".join(f", {k} {kinds[k]}" for k in keep))
 
 
-def identify(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, path: str, keep: tuple[str, ...] = (), text_too: bool = False) -> DataFrame:
     """predict() by what train() learns from the documents whose crc32 of doc_id, mod 3, is not 1."""
     names, chances = train(docs, path, ~held_out(3, 1))
-    return predict(docs, path, names, chances, keep)
+    return predict(docs, path, names, chances, keep, text_too)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     return model
 
 
-def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, predicted) of every row, by its whole text, and the columns to keep.
+def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), text_too: bool = False) -> DataFrame:
+    """(doc_id, score, predicted) of every row, by its whole text, and the columns to keep; with text_too the text (null: empty).
 
     Null texts count as empty, which have a score too; without a model every score is 0.
     """
@@ -230,10 +230,10 @@ def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
         for part in chunks(batches, most=2 << 20):
             ids, doc = buckets(part.column("text"))
             score = model.score(ids, doc, spoken) if model is not None else np.zeros(part.num_rows)
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))} | {k: part.column(k) for k in keep})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))} | ({"text": part.column("text").cast(pa.string())} if text_too else {}) | {k: part.column(k) for k in keep})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int" + "".join(f", {k} {kinds[k]}" for k in keep))
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int" + ", text string" * text_too + "".join(f", {k} {kinds[k]}" for k in keep))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
