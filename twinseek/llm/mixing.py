@@ -19,6 +19,8 @@ from twinseek.llm.shared import cut, table
 #: The entropy to reach, as a share of the largest one; repetitions at most; blocks of a source; sources that can be told apart.
 ENTROPY, REPEATS, BLOCKS, SOURCES = 0.9, 2.0, 4096, 100_000
 
+OUT = ("n_tokens", "block", "weight", "epochs", "copies")
+
 
 def entropy(shares: list[float], exponent: float) -> float:
     raised = [p**exponent for p in shares]
@@ -51,17 +53,26 @@ def find_exponent(shares: list[float], target: float = ENTROPY, repeats: float =
     return exponent
 
 
-def decide(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(docs with n_tokens, block, epochs, weight, copies; a row for each source).
+def decide(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+    """(docs with n_tokens, block, epochs, weight, copies; a row for each source). Columns of docs by these names are replaced.
 
     Tokens are runs of other bytes than white space. Null texts have none. A null source is a source of its own. A source
     without tokens has weight 0 and is used once. Documents of one source and id are taken together or not at all.
     """
+    rows, plan = judged(docs, **settings)
+    return rows.select(*(F.col("_d")[c].alias(c) for c in docs.columns if c not in OUT), *OUT), plan
+
+
+def judged(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """decide() with the columns of docs in the struct _d."""
     spark = docs.sparkSession
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = docs.withColumn("n_tokens", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_key", key).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)))
-    rows = rows.withColumn("_u", F.xxhash64("_key", "block", F.lit("order"))).withColumn("_v", F.xxhash64("doc_id", F.lit("order")))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_d"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_key"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
+        F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).alias("block"),
+        F.xxhash64("doc_id", F.lit("order")).alias("_v"),
+    ).withColumn("_u", F.xxhash64("_key", "block", F.lit("order")))
     narrow = cut(rows.select("_key", "_u", "_v", "n_tokens"), spark)
     sums = cut(narrow.groupBy("_key", "_u").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")), spark)
     totals = sums.groupBy("_key").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).orderBy("_key").limit(SOURCES + 1).collect()
@@ -89,14 +100,13 @@ def decide(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, b
     taken = (F.col("rest") > 0) & (F.col("u").isNull() | (F.col("_u") < F.col("u")) | ((F.col("_u") == F.col("u")) & (F.col("_v") <= F.col("v"))))
     rows = rows.join(F.broadcast(plan_.select("_key", "weight", "epochs", "whole", "rest", "u", "v")), "_key")
     rows = rows.withColumn("copies", F.col("whole") + F.coalesce(taken, F.lit(False)).cast("int"))
-    return rows.drop("_key", "_u", "_v", "whole", "rest", "u", "v"), plan_.select(F.expr("substring(_key, 2)").alias("source"), "rows", "tokens", "weight", "epochs")
+    return rows.select("_d", *OUT), plan_.select(F.expr("substring(_key, 2)").alias("source"), "rows", "tokens", "weight", "epochs")
 
 
 def realised(docs: DataFrame, **settings) -> DataFrame:
     """The documents, each as often as its source's budget takes it, with `epoch` from 1; columns of docs."""
-    names = docs.columns
-    rows, _ = decide(docs.select(*names), **settings)
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names, "epoch")
+    rows, _ = judged(docs, **settings)
+    return rows.select("_d", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select(*(F.col("_d")[c].alias(c) for c in docs.columns if c != "epoch"), "epoch")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
