@@ -23,7 +23,7 @@ from twinseek.llm.shared import table
 
 LONG_PIECE = 1024
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 200_000
+QUERY_BYTES = 100_000
 
 ENCODE = """
 WITH RECURSIVE seq(gen, piece, pos, id) AS (
@@ -64,7 +64,7 @@ class Coder:
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '300MB'")
+        self.db.execute("SET memory_limit = '150MB'")
         l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
         self.table("merges_in", {"l": l, "r": r, "merged": m})
         self.db.execute("CREATE TABLE merges AS FROM merges_in")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together. A longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def kept(key: str, build: Callable):
@@ -21,20 +21,31 @@ def kept(key: str, build: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system, of which executors share what the JVM leaves."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about `most` bytes in the column, one row at least. Nulls become empty texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        batch = batch.set_column(at, pa.field(column, pa.large_binary()), pc.fill_null(batch.column(at), "").cast(pa.large_binary()))
-        ends = np.cumsum(np.diff(text_bytes(batch.column(at))[1]))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < batch.num_rows:
             base = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, base + most, side="right")))
-            yield batch.slice(begin, end - begin)
+            part = batch.slice(begin, end - begin)
+            yield part.set_column(at, pa.field(column, pa.large_binary()), pc.fill_null(part.column(at), "" if pa.types.is_string(part.column(at).type) or pa.types.is_large_string(part.column(at).type) else b"").cast(pa.large_binary()))
             begin = end
+    give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +244,7 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Known:
     """Values of distinct byte strings, kept between chunks: some columns for each string. At `most` strings it starts anew."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most, self.words, self.columns = most, pa.array([], pa.large_binary()), None
 
     def look_up(self, words_: pa.Array, make: Callable[[pa.Array], list[pa.Array]]) -> tuple[np.ndarray, list[pa.Array]]:

@@ -37,7 +37,7 @@ def encoder(path: str):
             values += [np.array(sum(found, []) if len(found) < 2 else [y for x in found for y in x], np.int32)]
         return [pa.LargeListArray.from_arrays(pa.array(np.concatenate(offsets)), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))]
 
-    return make, Known()
+    return make, Known(1_000_000)
 
 
 def encode(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
