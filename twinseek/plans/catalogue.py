@@ -82,8 +82,8 @@ def essential_lines(spark, sf):
 
 
 def signature_match(spark, sf):
-    """Every twentieth document is a flaw, the next one its fix, all documents are targets."""
-    sig = _pairs(spark, sf).filter("doc_id % 20 = 0 and size(lines) > 0")
+    """Documents 0, 50, ... are flaws, the next ones their fixes, all documents are targets."""
+    sig = _pairs(spark, sf).filter("doc_id % 50 = 0 and size(lines) > 0")
     sv = F.array_except("lines", "fixed")
     sig = sig.select(F.col("doc_id").alias("sig_id"), sv.alias("sv"), F.array_except(F.array_except("fixed", "lines"), sv).alias("sp"), F.col("lines").alias("ref"))
     targets = table(spark, sf, "documents").select(F.col("doc_id").alias("target_id"), plain_lines(F.col("text")).alias("lines")).filter("size(lines) > 0")
@@ -95,22 +95,22 @@ def _vectors(spark, sf) -> DataFrame:
 
 
 def cosine_topk(spark, sf):
-    """The nearest other vector of every tenth one."""
+    """The nearest other vector, for every id divisible by 50."""
     v = _vectors(spark, sf)
-    found = vectors.similar(v.filter("id % 10 = 0"), v.filter("id % 10 <> 0"), k=1)
+    found = vectors.similar(v.filter("id % 50 = 0"), v, k=1)
     return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
 def cosine_threshold(spark, sf):
-    """F1: how many other vectors are at least 0.3 alike, for every tenth one that has any."""
+    """F1: how many other vectors are at least 0.3 alike, for every id divisible by 50 that has any."""
     v = _vectors(spark, sf)
-    return vectors.similar(v.filter("id % 10 = 0"), v.filter("id % 10 <> 0"), threshold=0.3).groupBy("query_id").agg(F.count("*").alias("n"))
+    return vectors.similar(v.filter("id % 50 = 0"), v, threshold=0.3).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 def nearer_to_vuln_than_fix(spark, sf):
-    """Vectors 0, 10, ... are flaws, the next ones their fixes; others are clones at 0.1 and more, if the flaw is nearer."""
+    """Vectors 0, 50, ... are flaws, the next ones their fixes; all others are clones at 0.1 and more, if the flaw is nearer."""
     v = _vectors(spark, sf)
-    near = vectors.similar(v.filter("id % 10 = 0"), v.filter("id % 10 > 1"), threshold=0.1).withColumnRenamed("similarity", "s_vuln")
+    near = vectors.similar(v.filter("id % 50 = 0"), v, threshold=0.1).withColumnRenamed("similarity", "s_vuln")
     near = near.join(v.select((F.col("id") - 1).alias("query_id"), F.col("id").alias("fix_id"), F.col("v").alias("fix")), "query_id").join(v.select("id", F.col("v").alias("clone")), "id")
     kept = match.fix_filter(near.withColumn("s_fix", vectors.cosine(F.col("fix"), F.col("clone"))))
     return kept.select(F.col("query_id").alias("vuln_id"), F.col("id").alias("clone_id"), F.round("s_vuln", 6).alias("s_vuln"), F.round("s_fix", 6).alias("s_fix"))
@@ -217,10 +217,10 @@ ORACLE_SQL = {
     "line_set_classes": f"WITH d AS (SELECT doc_id, list_sort({LINES}) AS l FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id, len(l) AS n_lines FROM d WHERE len(l) > 0",
     "line_jaccard_pairs": f"WITH d AS (SELECT doc_id, list_sort({LINES}) AS l FROM documents), c AS (SELECT min(doc_id) AS id, l, len(l) AS n FROM d WHERE len(l) > 0 GROUP BY l), e AS (SELECT id, n, unnest(l) AS x FROM c), p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL) SELECT id_a, id_b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.5",
     "essential_lines": f"WITH d AS (SELECT doc_id, {LINES} AS l FROM documents) SELECT a.doc_id, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x))) AS n_ev, len(list_filter(b.l, lambda x: NOT list_contains(a.l, x))) AS n_ep FROM d a JOIN d b ON b.doc_id = a.doc_id + 1",
-    "signature_match": f"WITH d AS (SELECT doc_id, {LINES} AS l FROM documents), s AS (SELECT a.doc_id AS sig_id, a.l AS ref, list_filter(a.l, lambda x: NOT list_contains(b.l, x)) AS sv, list_filter(b.l, lambda x: NOT list_contains(a.l, x)) AS sp FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 20 = 0 AND len(a.l) > 0), m AS (SELECT sig_id, t.doc_id AS target_id, len(list_intersect(ref, t.l)) AS k, len(ref) + len(t.l) - len(list_intersect(ref, t.l)) AS u, list_has_all(t.l, sv) AS c1, NOT list_has_any(t.l, sp) AS c2, len(sv) AS nv, len(sp) AS np FROM s, d t WHERE len(t.l) > 0) SELECT sig_id, target_id, round(k / u, 6) AS score FROM m WHERE k / u >= 0.5 AND CASE WHEN np = 0 THEN c1 WHEN nv = 0 THEN c2 ELSE c1 AND c2 END",
-    "cosine_topk": f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) = 1",
-    "cosine_threshold": f"SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 AND {COSINE} >= 0.3 GROUP BY 1",
-    "nearer_to_vuln_than_fix": f"WITH p AS (SELECT a.vec_id AS vuln_id, b.vec_id AS clone_id, {COSINE} AS s_vuln, b.embedding FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 > 1) SELECT vuln_id, clone_id, round(s_vuln, 6) AS s_vuln, round(s_fix, 6) AS s_fix FROM (SELECT p.*, list_cosine_similarity(f.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s_fix FROM p JOIN embeddings f ON f.vec_id = p.vuln_id + 1 WHERE s_vuln >= 0.1) WHERE s_fix < s_vuln",
+    "signature_match": f"WITH d AS (SELECT doc_id, {LINES} AS l FROM documents), s AS (SELECT a.doc_id AS sig_id, a.l AS ref, list_filter(a.l, lambda x: NOT list_contains(b.l, x)) AS sv, list_filter(b.l, lambda x: NOT list_contains(a.l, x)) AS sp FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 50 = 0 AND len(a.l) > 0), m AS (SELECT sig_id, t.doc_id AS target_id, len(list_intersect(ref, t.l)) AS k, len(ref) + len(t.l) - len(list_intersect(ref, t.l)) AS u, list_has_all(t.l, sv) AS c1, NOT list_has_any(t.l, sp) AS c2, len(sv) AS nv, len(sp) AS np FROM s, d t WHERE len(t.l) > 0) SELECT sig_id, target_id, round(k / u, 6) AS score FROM m WHERE k / u >= 0.5 AND CASE WHEN np = 0 THEN c1 WHEN nv = 0 THEN c2 ELSE c1 AND c2 END",
+    "cosine_topk": f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) = 1",
+    "cosine_threshold": f"SELECT a.vec_id AS query_id, count(*) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {COSINE} >= 0.3 GROUP BY 1",
+    "nearer_to_vuln_than_fix": f"WITH p AS (SELECT a.vec_id AS vuln_id, b.vec_id AS clone_id, {COSINE} AS s_vuln, b.embedding FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT vuln_id, clone_id, round(s_vuln, 6) AS s_vuln, round(s_fix, 6) AS s_fix FROM (SELECT p.*, list_cosine_similarity(f.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s_fix FROM p JOIN embeddings f ON f.vec_id = p.vuln_id + 1 WHERE s_vuln >= 0.1) WHERE s_fix < s_vuln",
     "pair_first_fix": "WITH f AS (SELECT conv_id, min(turn) AS fix_turn, md5(arg_min(text, turn)) AS fix_hash FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT conv_id, turn, fix_turn, fix_hash FROM conversations JOIN f USING (conv_id) WHERE role = 'user'",
     "lookup_last_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(props, event_id) AS props FROM events GROUP BY 1",
     "fallback_first_line": f"WITH d AS (SELECT doc_id, text, {FIRST} AS k FROM documents), e AS (SELECT text, min(doc_id) AS x FROM d GROUP BY 1), l AS (SELECT k, min(doc_id) AS y FROM d GROUP BY 1) SELECT item_id::BIGINT AS vuln_id, coalesce(x, y) AS fix_id, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'first_line' ELSE 'none' END AS how FROM benchmark b LEFT JOIN e ON e.text = b.text LEFT JOIN l ON l.k = trim(split_part(b.text, chr(10), 1), {TRIM})",
