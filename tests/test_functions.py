@@ -123,3 +123,52 @@ def test_signatures_are_made_and_found(spark, tmp_path):
     cli.main(["detect", str(tmp_path / "signed"), str(tmp_path / "in"), str(tmp_path / "found")])
     got = spark.read.json(str(tmp_path / "found")).collect()
     assert [(r["sig_id"], r["repo"], r["path"], r["score"]) for r in got] == [("c1#1", "repo", "a.c", 1.0)]
+
+
+def test_line_numbers_go_on_over_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"a": i, "pad": "x" * (i % 90)}) + "\n" if i % 7 else "\n" for i in range(1, 3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path), "a int")
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 2 * len([i for i in range(1, 3000) if i % 7]) and all(r["line_number"] == r["a"] for r in got)
+
+
+FLAW = "int copy(char *text) {\n  char *place = make_room(text);\n  strcpy(place, text);\n  return finish(place);\n}"
+FIXED = FLAW.replace("strcpy(place, text)", "if (text == NULL) { return -1; }\n  strlcpy(place, text, 16)")
+
+
+def test_retrieval_finds_clones_and_spares_fixes(spark, tmp_path):
+    rows = [{"function": FLAW, "fix_func": FIXED, "commit_url": "http://u/1"}, {"func": "void other(int z) {\n  while (z) { z--; }\n}"}]
+    (tmp_path / "corpus.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r_functions.json").write_text(json.dumps([{"path": "a.c", "function": FLAW}, {"path": "b.c", "function": FLAW + " // same"}, {"path": "c.c", "function": FIXED}, {"path": "", "function": "x y z"}]))
+    ask = ["retrieve", str(tmp_path / "corpus.jsonl"), str(tmp_path / "in"), str(tmp_path / "out"), "--work", str(tmp_path / "work"), "--no_abstraction"]
+    cli.main(ask)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r["repo"], r["path"], r["commit_url"], round(r["similarity"], 6), r["fix_match"]) for r in got] == [("r", "b.c", "http://u/1", 1.0, "exact")]
+    vectors_known = spark.read.parquet(str(tmp_path / "work" / "vectors")).count()
+    cli.main([*ask, "--disable_filtering"])
+    assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["b.c", "c.c"]
+    assert spark.read.parquet(str(tmp_path / "work" / "vectors")).count() == vectors_known
+
+
+def test_exact_copies_evaluation_and_verdicts(spark, tmp_path):
+    from twinseek.plans import retrieval
+
+    (tmp_path / "known.jsonl").write_text("\n".join(json.dumps({"func": FLAW, "cve": c}) for c in ("first", "last")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r_functions.json").write_text(json.dumps([{"path": "a.c", "function": FLAW.replace("  ", "\t")}, {"path": "b.c", "function": FIXED}]))
+    cli.main(["exact", str(tmp_path / "known.jsonl"), str(tmp_path / "in"), str(tmp_path / "out")])
+    assert [(r["path"], r["known"]["cve"]) for r in spark.read.json(str(tmp_path / "out")).collect()] == [("a.c", "last")] * 2
+    entries = [(1, FLAW, "original"), (1, FLAW.replace("place", "spot"), "1"), (1, "int x;", "2"), (1, FIXED, "fix"), (2, FLAW, "original"), (2, FLAW, "note")]
+    (tmp_path / "entries.jsonl").write_text("\n".join(json.dumps({"label": a, "code": b, "type": c}) for a, b, c in entries))
+    assert tuple(retrieval.evaluated(spark, str(tmp_path / "entries.jsonl")).select("tp", "fp", "fn", "tn").first()) == (1, 0, 1, 1)
+    results = spark.createDataFrame([("v", "c1"), ("v", "c2"), ("w", "c3")], "vuln_text string, clone_text string")
+    sources = spark.createDataFrame([("v", "f")], "body string, fix_func string")
+    got = retrieval.judged(results, sources, lambda _: '{"is_vulnerable": true, "confidence_level": 4, "justification": "j"}', limit=1).collect()
+    assert [(r["clone_text"], r["is_vulnerable"], r["confidence_level"], r["error"]) for r in got] == [("c1", True, 4, None)]

@@ -1,4 +1,4 @@
-"""Command line: `python -m twinseek signatures PAIRS OUT`, `python -m twinseek detect SIGNATURES FUNCTIONS OUT`."""
+"""Command line: `python -m twinseek JOB --help`, of signatures, detect, retrieve, exact and evaluate."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.plans import detection
+from twinseek.plans import detection, retrieval
 from twinseek.sources import readers, sinks
 
 SIGNED = "sig_id string, sv array<string>, sp array<string>, fo array<string>, fd array<string>, n_ev int, n_dv int, n_fv int, n_ep int, processing_status string"
@@ -25,11 +25,40 @@ def main(arguments: list[str] | None = None) -> None:
     find.add_argument("functions", help="a directory of JSON arrays of {path, function}")
     find.add_argument("out")
     find.add_argument("--threshold", type=float, default=0.5)
+    near = jobs.add_parser("retrieve", help="functions that are alike flaws, by vectors")
+    same = jobs.add_parser("exact", help="functions that are copies of flaws, by hash")
+    for job in (near, same):
+        job.add_argument("corpus", help="JSON lines of flaws")
+        job.add_argument("functions", help="a directory of JSON arrays of {path, function}")
+        job.add_argument("out")
+    near.add_argument("--work", required=True, help="a shared folder for vectors")
+    near.add_argument("--top_k", type=int, default=1)
+    near.add_argument("--threshold", type=float, default=0.5)
+    near.add_argument("--batch_size", type=int, default=4)
+    near.add_argument("--disable_filtering", action="store_true")
+    near.add_argument("--no_abstraction", action="store_true")
+    score = jobs.add_parser("evaluate", help="counts and ratios of labelled entries")
+    score.add_argument("entries")
+    score.add_argument("-o", "--out", required=True)
     asked = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("twinseek").getOrCreate()
     if asked.job == "signatures":
         sinks.write_lines(detection.signatures(detection.pairs(spark, asked.pairs, asked.introducing)), asked.out)
         return
+    if asked.job == "evaluate":
+        found = retrieval.evaluated(spark, asked.entries)
+        sinks.write_lines(found, asked.out)
+        sinks.report(found).show()
+        return
+    if asked.job == "retrieve":
+        corpus, functions = readers.corpus(spark, asked.corpus), readers.functions(spark, asked.functions)
+        found = retrieval.retrieve(corpus, functions, asked.work, k=asked.top_k, threshold=asked.threshold, filtering=not asked.disable_filtering, abstract=not asked.no_abstraction, batch=asked.batch_size)
+        sinks.write_results(found, asked.out)
+        return
+    if asked.job == "exact":
+        known = readers.numbered_lines(spark, asked.corpus, "func string, commit_url string, cve string").withColumn("ord", F.struct("file", "line_number"))
+        sinks.write_lines(retrieval.exact(known, readers.functions(spark, asked.functions, "*_functions.json"), "ord"), asked.out, ("_metadata",))
+        return
     functions = readers.functions(spark, asked.functions).withColumn("target_id", F.sha2(F.concat_ws("\n", "json_file", "path", "function"), 256))
     found = detection.detect(readers.signatures(spark, asked.signatures, SIGNED), detection.targets_of(functions), asked.threshold)
     sinks.write_lines(found.join(functions.select("target_id", "repo", "path").distinct(), "target_id"), asked.out)

@@ -19,6 +19,11 @@ def system_code(code: Column) -> Column:
     return F.coalesce(blank | code.isin(EMPTY_CODES + SYSTEM_CODES) | code.startswith("typedef") | code.contains("__"), F.lit(True))
 
 
+def user_code(code: Column) -> Column:
+    """what is no system code."""
+    return ~system_code(code)
+
+
 def edges(lines: DataFrame) -> DataFrame:
     """Edges of lines (pos, line) between their markers; in seven parts at colons, the last with the rest. Edges whose both
     ends are system code go. A line number that is none is -1."""
@@ -58,4 +63,4 @@ def control_statements(edge_table: DataFrame) -> DataFrame:
     e = edge_table
     cfg, ast = e.filter("edge_type = 'CFG'"), e.filter("edge_type = 'AST'")
     found = cfg.select(F.col("src_code").alias("code")).union(cfg.select("tgt_code")).union(ast.filter("src_label = 'CONTROL_STRUCTURE'").select("src_code")).union(ast.filter("tgt_label = 'CONTROL_STRUCTURE'").select("tgt_code"))
-    return found.filter(~system_code(F.col("code"))).distinct()
+    return found.filter(user_code(F.col("code"))).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinseek.functions.lines import long_enough
@@ -12,6 +12,7 @@ CORPUS = "`function` string, vuln_func string, func string, fix_func string, com
 BODY = ("function", "vuln_func", "func")
 PAIRS = "commit_id string, target int, func string, idx long, project string, cve string, cve_desc string, cwe array<string>"
 TARGET = "path string, `function` string"
+SPLITS = 100_000
 
 
 def corpus(spark: SparkSession, path: str, body: tuple[str, ...] = BODY, tolerant: bool = False) -> DataFrame:
@@ -21,11 +22,24 @@ def corpus(spark: SparkSession, path: str, body: tuple[str, ...] = BODY, toleran
 
 
 def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S3: JSON lines with their number in their file from 1, which bad and blank lines advance too."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    rows = lines.withColumn("_v", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    return rows.filter(F.col("_v").isNotNull() & F.col("_v._bad").isNull() & (F.trim("line") != "")).select("file", (F.col("pos") + 1).alias("line_number"), "_v.*").drop("_bad")
+    """S3: JSON lines with their number in their file from 1, which bad and blank lines advance too.
+
+    Files are read in splits. A line's number is its place in its split and the lines of the splits before. Of these there
+    is a row for each split, which are broadcast where there are SPLITS at most: so many as files, and as the least size of
+    a split goes into all bytes.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    conf = spark._jsparkSession.sessionState().conf()
+    least = max(1, min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()))
+    few = len(text.inputFiles()) + int(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // least <= SPLITS
+    lines = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+    splits = lines.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n") - F.col("first")
+    rows = lines.join((F.broadcast if few else lambda x: x)(splits.select("file", "split", before.alias("before"))), ["file", "split"]).withColumn("line_number", F.col("place") + F.col("before") + 1)
+    rows = rows.withColumn("_v", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows.filter(F.col("_v").isNotNull() & F.col("_v._bad").isNull() & (F.trim("line") != "")).select("file", "line_number", "_v.*").drop("_bad")
 
 
 def functions(spark: SparkSession, path: str, suffix: str = "*.json", drop_short: bool = False) -> DataFrame:
