@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm.columns import chunks, ranges, spaces, text_bytes, words, xxh64
+from twinseek.llm.columns import chunks, give_back, lower_ascii, ranges, spaces, text_bytes, xxh64
 from twinseek.llm.shared import cut
 
 #: Fingerprints in a tile on average, where counts are shared by more.
@@ -23,16 +23,32 @@ TILE = 1024
 CELLS = 17**4
 
 
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z) texts with one blank after each run of letters: (bytes, begin and end of each word, each text's first word).
+
+    Words of two texts may touch, as no shingle holds both.
+    """
+    inside = ~spaces()[data]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edge] = inside[edge]
+    ends[edge[edge > 0] - 1] = inside[edge[edge > 0] - 1]
+    place = np.cumsum(kept, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    starts = np.flatnonzero(begins)
+    doc = np.searchsorted(starts, offsets)
+    begin, end = place[starts] - 1, place[ends]
+    joined = lower_ascii()[data]
+    joined[~inside] = 32
+    return joined[kept], begin, end, doc
+
+
 def fingerprints(texts: pa.Array, size: int = 3) -> np.ndarray:
     """64-bit fingerprints of texts, by word shingles of the given size."""
-    data, offsets = text_bytes(texts)
-    letters, at, doc = words(data, offsets, spaces())
-    count = len(at) - 1
-    lengths = np.diff(at)
-    joined = np.full(len(letters) + count, 32, np.uint8)
-    joined[np.arange(len(letters)) + np.repeat(np.arange(count), lengths)] = letters
-    begin = at[:-1] + np.arange(count)
-    end = begin + lengths
+    joined, begin, end, doc = spaced(*text_bytes(texts))
     n = np.diff(doc)
     shingles = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     first = ranges(doc[:-1], shingles)
@@ -42,7 +58,7 @@ def fingerprints(texts: pa.Array, size: int = 3) -> np.ndarray:
     if len(full := np.flatnonzero(shingles)):
         edges = np.append(0, np.cumsum(shingles[full]))
         ones = np.zeros((len(full), 64), np.int64)
-        step, lo = 1 << 18, 0
+        step, lo = 1 << 15, 0
         while lo < len(full):
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + step, side="right")) - 1)
             for part in range(edges[lo], edges[hi], step) if hi == lo + 1 else (edges[lo],):
@@ -120,6 +136,7 @@ def links(classes: DataFrame, spark: SparkSession, radius: int = 2, tile: int =
                 number = np.concatenate([np.arange(parts[o]) for o in others])
                 a, b = np.full(len(other), cell[i]) * (1 << 32) + part[i], other * (1 << 32) + number
                 yield pa.record_batch({"lo": pa.array(np.minimum(a, b)), "hi": pa.array(np.maximum(a, b)), "fp": batch.column("fp").take(pa.array(np.full(len(a), i))), "rep": batch.column("rep").take(pa.array(np.full(len(a), i)))})
+        give_back()
 
     pairs = tiles.mapInArrow(deal, "lo long, hi long, fp array<long>, rep array<long>").groupBy("lo", "hi").agg(F.collect_list(F.struct("fp", "rep")).alias("tiles")).select(F.col("tiles.fp").alias("fp"), F.col("tiles.rep").alias("rep"))
 
@@ -143,6 +160,7 @@ def links(classes: DataFrame, spark: SparkSession, radius: int = 2, tile: int =
                     vs.append(v)
             if us:
                 yield pa.record_batch({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+        give_back()
 
     return pairs.mapInArrow(compare, "u long, v long")
 
