@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,12 +14,20 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 2 << 20
 
 
-def kept(key: str, build: Callable):
-    """What build() gives, once in each Python process: modules that are shipped by value have no lasting globals."""
+def kept(key: str, build: Callable, alone: bool = True):
+    """What build() gives, once in each Python process: modules that are shipped by value have no lasting globals.
+
+    Processes serve one operator after another, so what is kept `alone` gives way to the next such thing.
+    """
     store = sys.__dict__.setdefault("_twinseek_kept", {})
     if key not in store:
-        store[key] = build()
-    return store[key]
+        if alone:
+            for other in [k for k, (_, single) in store.items() if single]:
+                del store[other]
+            gc.collect()
+            give_back()
+        store[key] = build(), alone
+    return store[key][0]
 
 
 def give_back() -> None:
@@ -187,7 +196,7 @@ def char_classes() -> np.ndarray:
         table[list(WHITE)] = SPACE
         return table
 
-    return kept("char_classes", build)
+    return kept("char_classes", build, alone=False)
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
