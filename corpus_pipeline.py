@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, language, mixing, simhash, toxicity
+from twinseek.llm import bpe, copies, language, mixing, toxicity
 from twinseek.llm.columns import held_out
 from twinseek.llm.shared import new_path, table
 
@@ -36,9 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least doc_id stays; of rows with its id, one. Rows without an id stay."""
+    """Of each group of near duplicates the document of least doc_id stays; of rows with its id, one. Rows without an id stay.
+
+    Near duplicates share four fifths of their distinct five-word shingles or more, by exact comparison.
+    """
     names = _columns(docs)
-    found = simhash.near_duplicates(docs)
+    found = copies.near_copies(docs)
     stay = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     rows = docs.select(*names).join(stay, "doc_id")
     once, more = rows.filter("count = 1"), rows.filter("count > 1").dropDuplicates(["doc_id"])

@@ -1,0 +1,167 @@
+"""Near copies by the exact Jaccard similarity of word-shingle sets, without losing a pair.
+
+Sets of similarity s share an element among the first n - ceil(s n) + 1 of each, whatever order all elements are in. The
+order has shingles last that are common in a bounded sample of documents, so few sets meet at one. Candidates that the
+places of what they share cannot rule out are compared by their whole sets. Equal sets are compared once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from twinseek.llm.columns import chunks, give_back, ranges, text_bytes, xxh64
+from twinseek.llm.shared import cut, new_path
+from twinseek.llm.simhash import components, spaced
+
+#: Documents that tell the order of shingles, about, and shingles that it has last, at most. It bears on speed only.
+ORDER, COMMON = 1 << 14, 1 << 17
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct word shingles of each text, ascending; each text's first one). Shorter texts are one shingle."""
+    joined, begin, end, doc = spaced(*text_bytes(texts))
+    n = np.diff(doc)
+    shingles = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    first = ranges(doc[:-1], shingles)
+    last = first + np.repeat(np.minimum(n, size) - 1, shingles)
+    hashes = xxh64(joined, begin[first], end[last] - begin[first])
+    owner = np.repeat(np.arange(len(n)), shingles)
+    hashes = hashes[np.lexsort((hashes, owner))]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+
+
+def set_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each set."""
+    return xxh64(hashes.view(np.uint8), at[:-1] * 8, np.diff(at) * 8).view(np.int64)
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, documents that have each), by hash, of shingles that occur more than once in about ORDER documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            yield pa.record_batch({"hash": pa.array(shingle_sets(part.column("text"), size)[0].view(np.int64))})
+
+    share = max(1, docs.count() // ORDER)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(share)) == 0).select("text")
+    found = some.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 1").orderBy(F.desc("count"), "hash").limit(COMMON).toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("count").to_numpy()[order]
+
+
+def with_sets(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray], share: tuple[int, int]) -> DataFrame:
+    """(doc_id, key, n, heads): each set's key and size, and the elements of which similar sets share one."""
+    told = docs.sparkSession.sparkContext.broadcast(common)
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = told.value
+        for part in chunks(batches):
+            hashes, at = shingle_sets(part.column("text"), size)
+            n = np.diff(at)
+            owner = np.repeat(np.arange(len(n)), n)
+            seen = np.zeros(len(hashes), np.int64)
+            if len(often):
+                place = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+                seen = np.where(often[place] == hashes, counts[place], 0)
+            ordered = hashes[np.lexsort((hashes, seen, owner))]
+            heads = np.where(n > 0, n + (-num * n // den) + 1, 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(heads)).astype(np.int32)), pa.array(ordered[ranges(at[:-1], heads)].view(np.int64)))
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "key": pa.array(set_keys(hashes, at)), "n": pa.array(n), "heads": lists})
+
+    return docs.mapInArrow(run, "doc_id long, key long, n long, heads array<long>")
+
+
+def meetings(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): rows of one token whose sizes allow the similarity. Rows are ordered by token and size."""
+    on = np.arange(len(token))
+    step = 1
+    while len(on := on[on + step < len(token)]):
+        on = on[(token[on + step] == token[on]) & (n[on + step] * share[0] <= n[on] * share[1])]
+        yield on, on + step
+        step += 1
+
+
+def candidates(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): keys of sets that can be similar; no similar pair is missing."""
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "key", "n", "pos")
+        rest = [np.zeros(0, np.int64)] * 4
+
+        def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            _, key, n, pos = rows
+            for i, j in meetings(*rows, share):
+                if len(i):
+                    a, b = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+                    yield pa.record_batch({"a": pa.array(key[a]), "b": pa.array(key[b]), "na": pa.array(n[a]), "nb": pa.array(n[b]), "pa": pa.array(pos[a]), "pb": pa.array(pos[b])})
+
+        for batch in batches:
+            rows = [np.concatenate([old, batch.column(k).to_numpy().astype(np.int64)]) for old, k in zip(rest, names)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            yield from told([x[:whole] for x in rows])
+            rest = [x[whole:] for x in rows]
+        yield from told(rest)
+        give_back()
+
+    heads = sets.select(F.posexplode("heads").alias("pos", "token"), "key", "n").select("token", "key", "n", F.col("pos").cast("long").alias("pos"))
+    rows = heads.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "a long, b long, na long, nb long, pa long, pb long")
+    pairs = rows.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """Those pairs of keys whose sets are similar, by the whole sets."""
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            hashes, at = shingle_sets(part.column("text"), size)
+            yield pa.record_batch({"key": pa.array(set_keys(hashes, at)), "own": pa.array([hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())})
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                on[k] = both * (num + den) >= num * (len(x) + len(y))
+            yield batch.select(["a", "b"]).filter(pa.array(on))
+        give_back()
+
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = classes.join(keys, "key").select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "key long, own binary").dropDuplicates(["key"])
+    sets = cut(sets.join(keys, "key", "left_semi"), docs.sparkSession)
+    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return rows.mapInArrow(verify, "a long, b long")
+
+
+def near_copies(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: components of all pairs whose shingle sets have a Jaccard similarity of share or more.
+
+    Null texts count as empty; texts without a word are alike. Repeated rows give repeated rows. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    path = new_path(spark, "shingle-sets")
+    with_sets(docs, size, common_shingles(docs, size), share).write.parquet(path)
+    sets = spark.read.schema("doc_id long, key long, n long, heads array<long>").parquet(path)
+    classes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), spark)
+    once = sets.join(classes, (sets["key"] == classes["key"]) & (F.col("doc_id") == F.col("rep"))).select(sets["key"], "n", "heads").dropDuplicates(["key"])
+    pairs = cut(candidates(once, share), spark)
+    found = similar(pairs, docs, classes, size, share)
+    edges = found.join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").select("u", "v")
+    roots = components(edges, spark)
+    labels = classes.join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    return sets.select("doc_id", "key").join(labels, "key").select("doc_id", "component_id")
