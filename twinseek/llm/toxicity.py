@@ -2,7 +2,7 @@
 
 Words, and their first four and six bytes, are hashed to buckets with an embedding each, whose sum is the word's; filters over one, two and three words are pooled by their maximum over
 the whole text; a logistic layer gives the score. It is trained in numpy on a bounded sample of labelled rows. Cut-offs are
-calibrated by the language that a text's commonest function words tell, and moved to 0.5.
+calibrated by the language that a text's commonest function words tell, on all labelled rows outside the fitted sample, and moved to 0.5.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 #: Labelled rows that the model is fitted on, at most: those of least hash. Words of one of them, at most.
 SAMPLE, SAMPLE_WORDS = 8000, 20_000
 EPOCHS, BATCH, SEED = 8, 64, 42
+#: Steps of a logit that cut-offs are told by, the largest logit, and toxic rows at which a language's own cut-off counts half.
+LEVELS, FURTHEST, SHRINK = 64, 64, 40
 #: Bytes of a word's beginning that are hashed beside the word, so that unseen forms of a stem are known.
 STEMS = (4, 6)
 #: Common function words of four languages.
@@ -59,6 +61,8 @@ class Model:
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out, self.out_bias = np.full(FILTERS * len(WIDTHS), 0.2, np.float32), np.float32(0)
         self.cuts = np.zeros(len(FUNCTION_WORDS) + 1)
+        #: Rows, and toxic rows, of each language that set its cut-off; of no language first.
+        self.rows = np.zeros((len(FUNCTION_WORDS) + 1, 2), np.int64)
         for w in WIDTHS:
             self.filters[w][0, 0, :] = np.abs(self.filters[w][0, 0, :]) + 0.5
 
@@ -157,26 +161,26 @@ class Model:
         np.add.at(counts, (owner[kinds > 0], kinds[kinds > 0]), 1)
         return np.where(counts.max(1) > 0, counts.argmax(1), 0)
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray, least: int = 40) -> None:
-        """Each language's cut-off of the best F1 on texts that the model has not seen; that of all where few are known."""
-        if not len(texts):
-            return
-        ids, doc = np.concatenate(texts), np.append(0, np.cumsum([len(x) for x in texts]))
-        z, spoken = self.logits(ids, doc), self.spoken(ids, doc, languages())
+    def calibrate(self, spoken: np.ndarray, level: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> None:
+        """Each language's cut-off of the best F1, drawn towards that of all languages where few toxic rows are known.
+
+        n rows, of which `toxic` are toxic, have the language and the level (steps of 1 / LEVELS of a logit).
+        """
 
         def best(on: np.ndarray) -> float:
-            order = np.argsort(-z[on], kind="stable")
-            y, own = labels[on][order], z[on][order]
-            hit = np.cumsum(y)
-            f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-            k = int(f1.argmax())
-            return float((own[k] + own[min(k + 1, len(own) - 1)]) / 2)
-
-        self.cuts[:] = best(np.ones(len(z), bool)) if labels.any() else 0
-        for k in range(1, len(self.cuts)):
+            at, back = np.unique(-level[on], return_inverse=True)
+            y, all_ = np.bincount(back, weights=toxic[on]), np.bincount(back, weights=n[on])
+            k = int((2 * np.cumsum(y) / (np.cumsum(all_) + max(1, y.sum()))).argmax())
+            return float(-(at[k] + at[min(k + 1, len(at) - 1)]) / 2 / LEVELS)
+
+        every = np.ones(len(level), bool)
+        pooled = best(every) if toxic.sum() else 0.0
+        self.cuts[:] = pooled
+        for k in range(len(self.cuts)):
             on = spoken == k
-            if labels[on].sum() >= least:
-                self.cuts[k] = best(on)
+            self.rows[k] = n[on].sum(), toxic[on].sum()
+            if k and toxic[on].sum():
+                self.cuts[k] = (toxic[on].sum() * best(on) + SHRINK * pooled) / (toxic[on].sum() + SHRINK)
 
     def score(self, ids: np.ndarray, doc: np.ndarray, table_: np.ndarray) -> np.ndarray:
         z = self.logits(ids, doc) - self.cuts[self.spoken(ids, doc, table_)]
@@ -184,10 +188,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model | None:
-    """A model of labels.toxic, from `sample` labelled rows at most where train_where holds; None if there are none.
+    """A model of labels.toxic where train_where holds, fitted on three quarters of `sample` rows at most; None if there are none.
 
-    Rows whose label or id is null are no examples; of several labels of a document the largest counts. A quarter of the
-    sample sets the cut-offs.
+    Rows whose label or id is null are no examples; of several labels of a document the largest counts. All labelled rows
+    that the model is not fitted on set the cut-offs.
     """
     spark = docs.sparkSession
     ids = labels.filter(train_where & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -213,7 +217,21 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     cut = len(rows) // 4
     model = Model()
     model.fit([texts[i] for i in order[cut:]], y[order[cut:]], epochs)
-    model.calibrate([texts[i] for i in order[:cut]], y[order[:cut]])
+    fitted = spark.createDataFrame([(rows[i]["doc_id"],) for i in order[cut:]], "doc_id long")
+    told = spark.sparkContext.broadcast(model)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, kinds = told.value, languages()
+        for part in chunks(batches, most=2 << 20):
+            found, doc = buckets(part.column("text"))
+            level = np.floor(np.clip(model.logits(found, doc), -FURTHEST, FURTHEST) * LEVELS).astype(np.int64)
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "spoken": pa.array(model.spoken(found, doc, kinds).astype(np.int64)), "level": pa.array(level)})
+
+    others = ids.join(F.broadcast(fitted), "doc_id", "left_anti")
+    # Every text gets its level, so that levels and not texts travel to the labels. 2 x FURTHEST x LEVELS of each language at most are collected.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").mapInArrow(levels, "doc_id long, spoken long, level long").join(others, "doc_id")
+    sums = found.groupBy("spoken", "level").agg(F.count("*").alias("n"), F.sum(F.least(F.greatest("toxic", F.lit(0)), F.lit(1))).alias("toxic")).toArrow()
+    model.calibrate(*(sums.column(k).to_numpy() for k in ("spoken", "level", "n", "toxic")))
     return model
 
 
