@@ -30,3 +30,16 @@ def test_few_toxic_rows_of_a_language_count_in_part():
         cuts.append(model.cuts[3])
         assert model.rows[3].tolist() == [10 * times, times]
     assert cuts[0] <= cuts[1] < cuts[2] < cuts[3] and 1.5 < cuts[3] <= 2
+
+
+def test_examples_are_whole_texts_or_left_out(spark):
+    """Toxic words stand after 25,000 others."""
+    rows = [(i, "the word " * (12_500 if i % 2 else 3) + ("idiot scum" if i % 2 else "and of"), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), epochs=3)
+    tail = spark.createDataFrame([(1, "idiot scum"), (2, "the word the word")], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.scored(tail, model).orderBy("doc_id").collect()] == [1, 0]
+    few = toxicity.train(docs, labels, F.lit(True), epochs=1, most=500_000)
+    assert few.rows.sum(0)[0] == 60 - (30 + 4) * 3 // 4 - 1  # four long texts fit; a quarter of what fits sets cut-offs
+    assert toxicity.train(docs, labels, F.lit(True), epochs=1, most=5) is None

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm.columns import chunks, held_out, marks, ranges, text_bytes, words, xxh64
+from twinseek.llm.columns import chunks, held_out, marks, text_bytes, words, xxh64
 from twinseek.llm.shared import table
 
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
-#: Labelled rows that the model is fitted on, at most: those of least hash. Words of one of them, at most.
-SAMPLE, SAMPLE_WORDS = 8000, 20_000
+#: Labelled rows that are looked at for fitting, at most: those of least hash. Bytes of their texts together, at most: a row
+#: that would exceed them is left out whole, and sets cut-offs like others that are not fitted on.
+SAMPLE, SAMPLE_BYTES = 8000, 100_000_000
 EPOCHS, BATCH, SEED = 8, 64, 42
 #: Steps of a logit that cut-offs are told by, the largest logit, and toxic rows at which a language's own cut-off counts half.
 LEVELS, FURTHEST, SHRINK = 64, 64, 40
@@ -187,7 +188,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE, epochs: int = EPOCHS, most: int = SAMPLE_BYTES) -> Model | None:
     """A model of labels.toxic where train_where holds, fitted on three quarters of `sample` rows at most; None if there are none.
 
     Rows whose label or id is null are no examples; of several labels of a document the largest counts. All labelled rows
@@ -198,17 +199,25 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     chosen = {r["doc_id"]: r["toxic"] for r in ids.withColumn("key", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("key", "doc_id").limit(sample).collect()}
     if not chosen:
         return None
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = F.broadcast(spark.createDataFrame(list(chosen.items()), "doc_id long, toxic int"))
+    sizes = {r["doc_id"]: r["size"] for r in texts_of.join(wanted, "doc_id").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect()}
+    left, fits = most, []
+    for i in (i for i in chosen if i in sizes):  # by hash
+        if sizes[i] <= left:
+            left -= sizes[i]
+            fits.append((i, chosen[i]))
+    if not fits:
+        return None
+    wanted = F.broadcast(spark.createDataFrame(fits, "doc_id long, toxic int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             found, doc = buckets(part.column("text"))
-            sizes = np.minimum(np.diff(doc), SAMPLE_WORDS)
-            found = found[ranges(doc[:-1], sizes)].astype(np.uint16)
-            ends = np.append(0, np.cumsum(sizes))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "ids": pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+            found = found.astype(np.uint16)
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "toxic": part.column("toxic"), "ids": pa.array([found[a:b].tobytes() for a, b in zip(doc[:-1], doc[1:])], pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").mapInArrow(run, "doc_id long, toxic int, ids binary").toArrow().to_pylist()
+    rows = texts_of.join(wanted, "doc_id").mapInArrow(run, "doc_id long, toxic int, ids binary").toArrow().to_pylist()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     if not rows:
         return None
@@ -229,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
 
     others = ids.join(F.broadcast(fitted), "doc_id", "left_anti")
     # Every text gets its level, so that levels and not texts travel to the labels. 2 x FURTHEST x LEVELS of each language at most are collected.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").mapInArrow(levels, "doc_id long, spoken long, level long").join(others, "doc_id")
+    found = texts_of.filter("doc_id is not null").mapInArrow(levels, "doc_id long, spoken long, level long").join(others, "doc_id")
     sums = found.groupBy("spoken", "level").agg(F.count("*").alias("n"), F.sum(F.least(F.greatest("toxic", F.lit(0)), F.lit(1))).alias("toxic")).toArrow()
     model.calibrate(*(sums.column(k).to_numpy() for k in ("spoken", "level", "n", "toxic")))
     return model
