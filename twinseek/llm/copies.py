@@ -20,6 +20,8 @@ from twinseek.llm.simhash import components, spaced
 
 #: Documents that tell the order of shingles, about, and shingles that it has last, at most. It bears on speed only.
 ORDER, COMMON = 1 << 14, 1 << 17
+#: Bits that tell which ids are in candidates.
+BITS = 1 << 26
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,9 @@ def candidates(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
         rest = [np.zeros(0, np.int64)] * 4
 
         def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, key, n, pos = rows
+            new = np.ones(len(rows[0]), bool)  # equal sets count once
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            _, key, n, pos = rows = [x[new] for x in rows]
             for i, j in meetings(*rows, share):
                 if len(i):
                     a, b = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
@@ -120,31 +124,41 @@ def candidates(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.filter(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """Those pairs of keys whose sets are similar, by the whole sets."""
-    num, den = share
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with the ids of `ids`, and of few others: no text is moved to tell them. BITS bits are sent."""
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("bit")), F.lit(BITS))
+    rows = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 31 as int)))").alias("bits")).toArrow()
+    mask = np.zeros(BITS >> 5, np.uint32)
+    mask[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    told = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            hashes, at = shingle_sets(part.column("text"), size)
-            yield pa.record_batch({"key": pa.array(set_keys(hashes, at)), "own": pa.array([hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())})
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            on = told.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 > 0
+            yield batch.filter(pa.array(on)).select(["doc_id", "text"])
+        give_back()
+
+    return docs.withColumn("spot", spot).mapInArrow(run, "doc_id long, text string")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """Those pairs (u, v) of ids whose texts' sets are similar, by the whole sets."""
+    num, den = share
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on[k] = both * (num + den) >= num * (len(x) + len(y))
-            yield batch.select(["a", "b"]).filter(pa.array(on))
-        give_back()
+            for part in chunks([batch], "x"):
+                (x, x_at), (y, y_at) = shingle_sets(part.column("x"), size), shingle_sets(part.column("y"), size)
+                on = np.zeros(part.num_rows, bool)
+                for k in range(part.num_rows):
+                    a, b = x[x_at[k] : x_at[k + 1]], y[y_at[k] : y_at[k + 1]]
+                    on[k] = len(np.intersect1d(a, b, assume_unique=True)) * (num + den) >= num * (len(a) + len(b))
+                yield part.select(["u", "v"]).filter(pa.array(on))
 
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = classes.join(keys, "key").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "key long, own binary").dropDuplicates(["key"])
-    sets = cut(sets.join(keys, "key", "left_semi"), docs.sparkSession)
-    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(verify, "a long, b long")
+    texts = of_ids(docs.withColumn("text", F.coalesce("text", F.lit(""))), pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")))
+    rows = pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return rows.mapInArrow(verify, "u long, v long")
 
 
 def near_copies(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -158,10 +172,8 @@ def near_copies(docs: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5))
     with_sets(docs, size, common_shingles(docs, size), share).write.parquet(path)
     sets = spark.read.schema("doc_id long, key long, n long, heads array<long>").parquet(path)
     classes = cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), spark)
-    once = sets.join(classes, (sets["key"] == classes["key"]) & (F.col("doc_id") == F.col("rep"))).select(sets["key"], "n", "heads").dropDuplicates(["key"])
-    pairs = cut(candidates(once, share), spark)
-    found = similar(pairs, docs, classes, size, share)
-    edges = found.join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").select("u", "v")
+    pairs = candidates(sets, share).join(classes.toDF("a", "u"), "a").join(classes.toDF("b", "v"), "b").filter("u <> v").select("u", "v")
+    edges = similar(cut(pairs, spark), docs, size, share)
     roots = components(edges, spark)
     labels = classes.join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     return sets.select("doc_id", "key").join(labels, "key").select("doc_id", "component_id")
