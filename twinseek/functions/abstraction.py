@@ -1,13 +1,48 @@
-"""Abstraction of identifiers. Symbols come as arrays, from any parser; symbols_of() is an approximation by patterns."""
+"""Abstraction of identifiers. Symbols come as arrays, from any parser; symbols_of() is an approximation by patterns.
+
+Names are looked up in dictionaries, text by text in Arrow batches, so the work grows with a text's length. An expression
+over arrays would search the list of names again for every token.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinseek.functions.text import CPP_KEYWORDS, DOUBLE, SINGLE, comments_to_blanks, renameable, strip_comments
+from twinseek.functions.text import CPP_KEYWORDS, CPP_SPECIAL, DOUBLE, SINGLE, comments_to_blanks, normalize, strip, strip_comments
 
-# Fixed values of the language configuration: modifiers, types and functions that are the language's own.
+# Fixed values of the language configuration: keywords, modifiers, types and functions that are the language's own.
+C_KEYWORDS = (
+    "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return "
+    "short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary _Alignas _Alignof _Atomic "
+    "_Static_assert _Noreturn _Thread_local _Generic true false NULL"
+).split()
+CPP_OWN_KEYWORDS = (
+    "class namespace using template typename public private protected virtual override final new delete this operator friend explicit "
+    "mutable constexpr decltype auto nullptr thread_local alignas static_assert noexcept try catch throw typeid dynamic_cast static_cast "
+    "const_cast reinterpret_cast"
+).split()
+JAVA_KEYWORDS = (
+    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for "
+    "goto if implements import instanceof int interface long native new package private protected public return short static strictfp super "
+    "switch synchronized this throw throws transient try void volatile while true false null"
+).split()
+C_TYPES = (
+    "void char short int long float double signed unsigned _Bool _Complex _Imaginary size_t ptrdiff_t wchar_t wint_t int8_t int16_t int32_t "
+    "int64_t uint8_t uint16_t uint32_t uint64_t intptr_t uintptr_t time_t clock_t FILE DIR"
+).split()
+CPP_TYPES = C_TYPES + (
+    "string vector map set list queue stack pair shared_ptr unique_ptr weak_ptr array unordered_map unordered_set deque priority_queue "
+    "bitset tuple function thread mutex condition_variable"
+).split()
+JAVA_TYPES = (
+    "boolean byte char short int long float double String Object Integer Double Float Boolean Character Byte Short Long ArrayList HashMap "
+    "HashSet TreeMap TreeSet LinkedList Vector Stack Queue PriorityQueue Properties Date Calendar Thread Runnable Exception RuntimeException"
+).split()
 C_MODIFIERS = "static extern register auto const volatile restrict inline unsigned signed _Thread_local _Atomic".split()
 CPP_MODIFIERS = C_MODIFIERS + "public private protected virtual explicit mutable constexpr thread_local alignas noexcept".split()
 JAVA_MODIFIERS = "public private protected static final abstract synchronized volatile transient native strictfp".split()
@@ -25,11 +60,33 @@ JAVA_FUNCTIONS = (
     "parseInt parseDouble add remove get set size isEmpty contains clear iterator hasNext next put keySet values entrySet start run "
     "sleep wait notify notifyAll currentTimeMillis"
 ).split()
-CONFIG = {"c": (C_MODIFIERS, C_FUNCTIONS), "cpp": (CPP_MODIFIERS, CPP_FUNCTIONS), "java": (JAVA_MODIFIERS, JAVA_FUNCTIONS)}
+#: B2f: by language its keywords, types, functions and modifiers; others count as c.
+CONFIG = {
+    "c": (C_KEYWORDS, C_TYPES, C_FUNCTIONS, C_MODIFIERS),
+    "cpp": (C_KEYWORDS + CPP_OWN_KEYWORDS, CPP_TYPES, CPP_FUNCTIONS, CPP_MODIFIERS),
+    "java": (JAVA_KEYWORDS, JAVA_TYPES, JAVA_FUNCTIONS, JAVA_MODIFIERS),
+}
 CONTROL = "if for while switch return sizeof catch else do case".split()
 NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
 #: What policies of the three fixed abstractions generalise.
 POLICIES = {1: ("parameters", "locals", "types", "calls"), 2: ("functions",), 3: ("functions", "parameters")}
+LABELS = {"calls": "FUNCCALL", "types": "DTYPE", "functions": "FNAME", "locals": "LVAR", "parameters": "FPARAM"}
+OWN_NAMES = frozenset(CPP_KEYWORDS + CPP_SPECIAL)
+
+
+def by_text(make: Callable, kind: str = "string") -> Callable[..., Column]:
+    """A function of columns from one of plain values; a null first value gives null."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if row[0] is None else make(*row) for row in zip(*columns)], dtype=object)
+
+    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(s: Column) -> Column:
@@ -44,39 +101,39 @@ def symbols_of(code: Column, language: str = "c") -> Column:
     Parameters are plain names of the first parameter list, without pointers; locals are initialised declarations of a plain
     name; types stand before either; calls are names before a parenthesis that are no standard function.
     """
-    modifiers, own = CONFIG.get(language, CONFIG["c"])
-    flat = comments_to_blanks(code)
-    head = F.regexp_extract(flat, rf"(?s)\A[^({{;]*?({NAME})\s*\(([^)]*)\)", 2)
-    function = F.regexp_extract(flat, rf"(?s)\A[^({{;]*?({NAME})\s*\(", 1)
-    declared = F.split(head, ",")
+    _, _, own, modifiers = CONFIG.get(language, CONFIG["c"])
     plain = rf"\A\s*(?:{NAME}\s+)*?({NAME})\s+({NAME})\s*(?:\[[^\]]*\])?\s*\z"
-    named = lambda a: F.array_distinct(F.filter(a, lambda x: (x != "") & ~x.isin(CPP_KEYWORDS)))
-    parameters = named(F.transform(declared, lambda d: F.regexp_extract(d, plain, 2)))
     local = F.lit(rf"(?<![\w.>])({NAME})\s+({NAME})\s*=[^=]")
-    locals_ = F.filter(named(F.regexp_extract_all(flat, local, F.lit(2))), lambda x: ~F.array_contains(parameters, x))
-    types = F.array_union(F.transform(declared, lambda d: F.regexp_extract(d, plain, 1)), F.regexp_extract_all(flat, local, F.lit(1)))
-    types = F.array_distinct(F.filter(types, lambda x: (x != "") & ~x.isin(modifiers + CONTROL)))
-    calls = F.filter(named(F.regexp_extract_all(flat, F.lit(rf"({NAME})\s*\("), F.lit(1))), lambda x: ~x.isin(own + CONTROL) & (x != function))
-    return F.struct(parameters.alias("parameters"), locals_.alias("locals"), types.alias("types"), calls.alias("calls"), F.array(function).alias("functions"))
+    named = lambda a: F.array_distinct(F.filter(a, lambda x: (x != "") & ~x.isin(CPP_KEYWORDS)))
+
+    # No lambda uses a variable of one around it: Spark cannot take such an expression as an argument of a Python function.
+    def of(flat: Column) -> Column:
+        head = F.regexp_extract(flat, rf"(?s)\A[^({{;]*?({NAME})\s*\(([^)]*)\)", 2)
+        function = F.regexp_extract(flat, rf"(?s)\A[^({{;]*?({NAME})\s*\(", 1)
+        return let(F.struct(flat.alias("flat"), F.split(head, ",").alias("declared"), function.alias("function")), parts)
 
+    def parts(x: Column) -> Column:
+        parameters = named(F.transform(x["declared"], lambda d: F.regexp_extract(d, plain, 2)))
+        types = F.array_union(F.transform(x["declared"], lambda d: F.regexp_extract(d, plain, 1)), F.regexp_extract_all(x["flat"], local, F.lit(1)))
+        types = F.array_distinct(F.filter(types, lambda t: (t != "") & ~t.isin(modifiers + CONTROL)))
+        calls = F.filter(named(F.regexp_extract_all(x["flat"], F.lit(rf"({NAME})\s*\("), F.lit(1))), lambda c: ~c.isin(own + CONTROL))
+        locals_ = F.array_except(named(F.regexp_extract_all(x["flat"], local, F.lit(2))), parameters)
+        return F.struct(parameters.alias("parameters"), locals_.alias("locals"), types.alias("types"), F.array_remove(calls, x["function"]).alias("calls"), F.array(x["function"]).alias("functions"))
 
-def _labels(names: Column, label: str) -> Column:
-    return F.map_from_arrays(names, F.transform(names, lambda _: F.lit(label)))
+    return let(comments_to_blanks(code), of)
 
 
 def relabel(code: Column, symbols: Column, parts: tuple[str, ...] = ("calls", "types", "locals", "parameters")) -> Column:
     """B2, B2e: every token that is a known name gets its label, whatever its role; of several labels parameters win, then
     locals, types, calls. With other parts, B6-B8."""
-    label = {"calls": "FUNCCALL", "types": "DTYPE", "locals": "LVAR", "parameters": "FPARAM", "functions": "FNAME"}
+    order = [p for p in LABELS if p in parts]
+    labels = [LABELS[p] for p in order]
 
-    def of(token: Column) -> Column:
-        out = token
-        for part in ("calls", "types", "functions", "locals", "parameters"):
-            if part in parts:
-                out = F.when(F.array_contains(symbols[part], token), label[part]).otherwise(out)
-        return out
+    def of(every, *names) -> str:
+        known = {n: label for label, own in zip(labels, names) if own is not None for n in own}
+        return "".join([known.get(t, t) for t in every])
 
-    return F.array_join(F.transform(tokens(code), of), "")
+    return by_text(of)(tokens(code), *(symbols[p] for p in order))
 
 
 def abstract(code: Column, policy: int, language: str = "c") -> Column:
@@ -84,44 +141,122 @@ def abstract(code: Column, policy: int, language: str = "c") -> Column:
     return relabel(code, symbols_of(code, language), POLICIES[policy])
 
 
+def in_turn(code: str, names: list[str], label: str) -> str:
+    """replace_in_turn() of plain values. Plain words are found by their places, others by a pattern."""
+    at = 0
+    while at < len(names):
+        if not re.fullmatch(r"\w+", names[at]):
+            code = re.sub(rf"(^|\W){re.escape(names[at])}(\W)", rf"\g<1>{label}\g<2>", code) if names[at] else code
+            at += 1
+            continue
+        run = at
+        while run < len(names) and re.fullmatch(r"\w+", names[run]):
+            run += 1
+        parts, places = re.findall(r"\w+|\W", code), {n: [] for n in names[at:run]}
+        for i, part in enumerate(parts):
+            if part in places:
+                places[part].append(i)
+        for name in names[at:run]:
+            taken, left = -1, []
+            for i in places[name]:
+                if i + 1 < len(parts) and (i == 0 or i - 1 != taken):
+                    parts[i], taken = label, i + 1
+                    if label != name and label in places:
+                        places[label].append(i)
+                else:
+                    left.append(i)
+            if label != name:
+                places[name] = left
+            if label in places:
+                places[label].sort()
+        code, at = "".join(parts), run
+    return code
+
+
 def replace_in_turn(code: Column, names: Column, label: str) -> Column:
     """B1: each name in turn, between a character that is no word's (or the text's start) and another, both consumed, so of
     two occurrences with one character between them only the first is replaced."""
-    return F.aggregate(names, code, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"(^|\W)"), n, F.lit(r"(\W)")), F.lit(f"$1{label}$2")))
+    return by_text(lambda text, own: in_turn(text, [] if own is None else list(own), label))(code, names)
 
 
 def symbol_abstract(code: Column, parameters: Column, types: Column, locals_: Column) -> Column:
     """B1: parameters, then types, then locals."""
-    return replace_in_turn(replace_in_turn(replace_in_turn(code, parameters, "FPARAM"), types, "DTYPE"), locals_, "LVAR")
 
+    def of(text: str, *names) -> str:
+        for own, label in zip(names, ("FPARAM", "DTYPE", "LVAR")):
+            text = in_turn(text, [] if own is None else list(own), label)
+        return text
+
+    return by_text(of)(code, parameters, types, locals_)
+
+
+def abstracted_by_patterns(code: Column, language: str = "c") -> Column:
+    """B1 with the symbols that patterns tell."""
+    symbols = symbols_of(code, language)
+    return symbol_abstract(code, symbols["parameters"], symbols["types"], symbols["locals"])
 
-def indexed_rename(code: Column) -> Column:
-    """Names in the order of their first appearance become a1, a2, ... in turn, so that a name like a1 may be renamed
-    again. Whole words are replaced, and stay whole, so each word's end can be told from the list of names alone."""
-    flat = comments_to_blanks(code)
-    word = r"(?U)([\p{L}\p{N}_]+)"
-    names = F.array_distinct(F.filter(F.regexp_extract_all(flat, F.lit(word), F.lit(1)), renameable))
-    again = F.filter(names, lambda n: n.rlike(r"\Aa[0-9]+\z"))
-    parts = F.regexp_extract_all(flat, F.lit(r"(?U)([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1))
 
-    def chase(w: Column) -> Column:
-        first = F.array_position(names, w)
-        found = F.struct(F.concat(F.lit("a"), first.cast("string")).alias("to"), first.alias("at"))
-        step = lambda acc, n: F.when((acc["to"] == n) & (F.array_position(names, n) > acc["at"]), F.struct(F.concat(F.lit("a"), F.array_position(names, n).cast("string")).alias("to"), F.array_position(names, n).alias("at"))).otherwise(acc)
-        return F.when(first > 0, F.aggregate(again, found, step)["to"]).otherwise(w)
+def _numbered(name: str) -> bool:
+    """renameable() of a plain value."""
+    return re.fullmatch(NAME, name) is not None and name not in OWN_NAMES
 
-    return F.array_join(F.transform(parts, chase), "")
+
+def numbered_words(flat: str) -> str:
+    """indexed_rename() of a plain text without comments."""
+    parts, rank = re.findall(r"\w+|\W+", flat), {}
+    for part in parts:
+        if part not in rank and _numbered(part):
+            rank[part] = len(rank) + 1
+    last = {}
+    for name, at in rank.items():
+        to = f"a{at}"
+        while (after := rank.get(to, 0)) > at:
+            at, to = after, f"a{after}"
+        last[name] = to
+    return "".join([last.get(part, part) for part in parts])
+
+
+def indexed_rename(code: Column) -> Column:
+    """Names in the order of their first appearance become a1, a2, ... in turn, so that a name like a1 may be renamed
+    again. Whole words are replaced, and stay whole, so each word's end can be told from the names' ranks alone."""
+    return by_text(numbered_words)(comments_to_blanks(code))
 
 
 def rename_tokens(code: Column) -> Column:
     """Names are replaced where they stand, all at once; literals are left alone."""
-    every = tokens(code)
-    names = F.array_distinct(F.filter(every, renameable))
-    return F.array_join(F.transform(every, lambda t: F.when(F.array_contains(names, t), F.concat(F.lit("a"), F.array_position(names, t).cast("string"))).otherwise(t)), "")
+
+    def of(every) -> str:
+        rank: dict[str, str] = {}
+        for t in every:
+            if t not in rank and _numbered(t):
+                rank[t] = f"a{len(rank) + 1}"
+        return "".join([rank.get(t, t) for t in every])
+
+    return by_text(of)(tokens(code))
 
 
 def line_map(original: Column, abstracted: Column) -> Column:
-    """array<struct<line, abst>>: lines side by side up to the shorter text, keyed by the line without comments."""
-    a, b = F.split(original, "\n"), F.split(abstracted, "\n")
-    n = F.least(F.size(a), F.size(b))
-    return F.transform(F.arrays_zip(F.slice(a, 1, n).alias("a"), F.slice(b, 1, n).alias("b")), lambda x: F.struct(strip_comments(x["a"]).alias("line"), x["b"].alias("abst")))
+    """array<struct<line, abst>>: lines side by side up to the shorter text: the stripped line without comments, and the
+    stripped abstracted line. Lines without anything else go."""
+    sides = F.struct(F.split(original, "\n").alias("a"), F.split(abstracted, "\n").alias("b"))
+
+    def zipped(x: Column) -> Column:
+        n = F.least(F.size(x["a"]), F.size(x["b"]))
+        return F.arrays_zip(F.slice(x["a"], 1, n).alias("a"), F.slice(x["b"], 1, n).alias("b"))
+
+    rows = F.transform(let(sides, zipped), lambda x: F.struct(strip_comments(strip(x["a"])).alias("line"), strip(x["b"]).alias("abst")))
+    return F.filter(rows, lambda x: strip(x["line"]) != "")
+
+
+def with_abstraction(lines: Column, mapped: Column) -> Column:
+    """array<struct<norm, abst>> of normalised lines; mapped is line_map(). The first line of the code that is the given
+    one when normalised counts, and of equal lines the last one's abstraction; a line that is not there is its own."""
+
+    def of(own, norms, keys, values) -> list[dict]:
+        first, last = {}, dict(zip(keys, values))
+        for norm, key in zip(norms, keys):
+            first.setdefault(norm, key)
+        return [{"norm": x, "abst": last[first[x]] if x in first else x} for x in own]
+
+    keys = F.transform(mapped, lambda m: m["line"])
+    return by_text(of, "array<struct<norm:string,abst:string>>")(lines, F.transform(keys, normalize), keys, F.transform(mapped, lambda m: normalize(m["abst"])))

@@ -22,18 +22,8 @@ def line_list(code: Column, least: int = LEAST) -> Column:
 
 
 def original_line(code: Column, line: Column) -> Column:
-    """T5: the first line of the code that is the given one when normalised."""
-    return F.get(F.filter(F.split(code, "\n"), lambda x: normalize(strip_comments(x)) == line), F.lit(0))
-
-
-def with_abstraction(lines: Column, mapped: Column) -> Column:
-    """array<struct<norm, abst>>; mapped is abstraction.line_map(), of which the last entry of a line counts."""
-
-    def of(line: Column) -> Column:
-        found = F.filter(mapped, lambda m: normalize(m["line"]) == line)
-        return F.struct(line.alias("norm"), F.coalesce(F.when(F.size(found) > 0, F.element_at(found, -1)["abst"]), line).alias("abst"))
-
-    return F.transform(lines, of)
+    """T5: the first line of the code that is the given one when normalised, stripped."""
+    return F.get(F.filter(F.transform(F.split(code, "\n"), strip), lambda x: normalize(strip_comments(x)) == line), F.lit(0))
 
 
 def context(fo: Column, fd: Column) -> Column:

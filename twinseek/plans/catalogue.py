@@ -208,6 +208,8 @@ COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 TRIM = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 FIRST = f"trim(split_part(text, chr(10), 1), {TRIM})"
 HASH = r"md5(regexp_replace(lower(text), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g'))"
+UNICODE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NO_NAMES = ", ".join(f"'{w}'" for w in text.CPP_KEYWORDS + text.CPP_SPECIAL)
 ORACLE_SQL = {
     "exact_hash_clones": "SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY md5(text)) QUALIFY count(*) OVER w > 1",
     "hash_join_multiplicity": f"WITH d AS (SELECT doc_id, {HASH} AS h FROM documents), k AS (SELECT h, max(doc_id) OVER (PARTITION BY h) AS known_id FROM d WHERE doc_id % 2 = 0) SELECT d.doc_id, k.known_id FROM d JOIN k USING (h) WHERE d.doc_id % 2 = 1",
@@ -229,6 +231,19 @@ ORACLE_SQL = {
     "activity_filter": "SELECT o_custkey, round(avg((o_orderstatus = 'F')::INT), 6) AS rate FROM orders GROUP BY 1 HAVING avg((o_orderstatus = 'F')::INT) >= 0.1 AND max(o_orderdate) >= TIMESTAMP '1998-01-01'",
     "group_counts_desc": "SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lang",
     "token_shingles": f"WITH t AS (SELECT {WORDS} AS w FROM documents), s AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || w[i + 1] || w[i + 2])) AS shingle FROM t WHERE len(w) >= 3) SELECT shingle, count(*) AS n FROM s GROUP BY 1",
+    "indexed_rename_hash": rf"""
+WITH RECURSIVE flat AS (
+  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{UNICODE_SPACE}+|{UNICODE_SPACE}+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM documents),
+parts AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), 1) AS pos FROM flat),
+firsts AS (SELECT doc_id, w, min(pos) AS pos FROM parts WHERE regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*') AND w NOT IN ({NO_NAMES}) GROUP BY ALL),
+ranked AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM firsts),
+chase AS (
+  SELECT doc_id, w, k FROM ranked
+  UNION ALL
+  SELECT c.doc_id, c.w, r.k FROM chase c JOIN ranked r ON r.doc_id = c.doc_id AND r.w = 'a' || c.k AND r.k > c.k),
+names AS (SELECT doc_id, w, 'a' || max(k) AS new_name FROM chase GROUP BY ALL)
+SELECT d.doc_id, md5(coalesce(x.t, '')) AS hash FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(coalesce(new_name, w), '' ORDER BY pos) AS t FROM parts LEFT JOIN names USING (doc_id, w) GROUP BY 1) x USING (doc_id)""",
     "simhash64": f"WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, ('0x' || substr(md5(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || w[i + 1] || w[i + 2]))), 17, 16))::UBIGINT AS h FROM t WHERE len(w) >= 3), b AS (SELECT doc_id, i, sum((h >> i::UBIGINT) & 1) AS ones, count(*) AS n FROM s, range(64) r(i) GROUP BY ALL), f AS (SELECT doc_id, sum(CASE WHEN ones * 2 > n THEN 1::HUGEINT << i::INT ELSE 0 END)::UBIGINT AS x FROM b GROUP BY 1) SELECT d.doc_id, coalesce(x, 0)::VARCHAR AS simhash FROM documents d LEFT JOIN f USING (doc_id)",
     "resume_anti": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE split_part(b.text, chr(10), 1) = split_part(d.text, chr(10), 1))",
     "nested_json_roundtrip": "SELECT source AS repo, lang, doc_id, round(n_chars / 7, 6) AS similarity, source || '/' || doc_id AS path FROM documents",
