@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinseek.functions.text import CPP_KEYWORDS, CPP_SPECIAL, DOUBLE, SINGLE, comments_to_blanks, normalize, strip, strip_comments
+from twinseek.functions.text import CPP_KEYWORDS, CPP_SPECIAL, DOUBLE, SINGLE, comments_to_blanks, let, normalize, strip, strip_comments
 
 # Fixed values of the language configuration: keywords, modifiers, types and functions that are the language's own.
 C_KEYWORDS = (
@@ -84,11 +84,6 @@ def by_text(make: Callable, kind: str = "string") -> Callable[..., Column]:
     return F.pandas_udf(run, kind)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value made once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def tokens(s: Column) -> Column:
     """Names, numbers, whole literals, and single other characters; comments are left out."""
     every = F.regexp_extract_all(s, F.lit(rf"""(?s)(//[^\n]*+|/\*.*?\*/|{SINGLE}|{DOUBLE}|{NAME}|[0-9][0-9a-zA-Z_.]*+|\s++|.)"""), F.lit(1))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.functions.abstraction import indexed_rename
-from twinseek.functions.text import erase_whitespace
+from twinseek.functions.text import erase_whitespace, let
 
 
 def body_hash(code: Column) -> Column:
@@ -26,9 +26,12 @@ def sha1(code: Column) -> Column:
 
 def shingles(tokens: Column, size: int = 3) -> Column:
     """Joined runs of successive tokens; none where there are fewer."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), ""))
-    return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), ""))
+        return F.when(F.size(t) >= size, every).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def word_tokens(text: Column) -> Column:

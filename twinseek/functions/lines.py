@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinseek.functions.text import normalize, strip, strip_comments
+from twinseek.functions.text import let, normalize, strip, strip_comments
 
 #: Shortest normalised line that counts.
 LEAST = 15
@@ -23,7 +23,8 @@ def line_list(code: Column, least: int = LEAST) -> Column:
 
 def original_line(code: Column, line: Column) -> Column:
     """T5: the first line of the code that is the given one when normalised, stripped."""
-    return F.get(F.filter(F.transform(F.split(code, "\n"), strip), lambda x: normalize(strip_comments(x)) == line), F.lit(0))
+    both = F.struct(F.transform(F.split(code, "\n"), strip).alias("all"), line.alias("line"))
+    return let(both, lambda b: F.get(F.filter(b["all"], lambda x: normalize(strip_comments(x)) == b["line"]), F.lit(0)))
 
 
 def context(fo: Column, fd: Column) -> Column:
@@ -43,7 +44,8 @@ def essential_patch(fo: Column, fd: Column, fp: Column) -> Column:
 
 def dependent(lines: Column, dependencies: Column) -> Column:
     """Lines that hold one of the dependencies."""
-    return F.filter(lines, lambda x: F.exists(dependencies, lambda d: x.contains(d)))
+    both = F.struct(lines.alias("lines"), dependencies.alias("deps"))
+    return let(both, lambda b: F.filter(b["lines"], lambda x: F.exists(b["deps"], lambda d: x.contains(d))))
 
 
 def control_flow(lines: Column, statements: Column) -> Column:

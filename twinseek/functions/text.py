@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ SINGLE, DOUBLE = r"'[^\\']*+(?:\\.[^\\']*+)*+'", r'"[^\\"]*+(?:\\.[^\\"]*+)*+"'
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once: an expression that a lambda takes from outside is made anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     return F.regexp_replace(s, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
 

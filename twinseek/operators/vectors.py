@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinseek.functions.text import let
+
 BLOCK, PACK = 4096, 512
 
 
@@ -23,8 +25,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """M1: of length 1; the zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    both = F.struct(a.alias("a"), norm(a).alias("n"))
+    return let(both, lambda b: F.transform(b["a"], lambda x: F.when(b["n"] > 0, x.cast("double") / b["n"]).otherwise(x.cast("double"))))
 
 
 def cosine(a: Column, b: Column) -> Column:
