@@ -1,8 +1,9 @@
 """Main text of HTML pages by differencing pages of near URLs.
 
-Pages are dealt out by ranges of host and path and sorted, so that a page's nearest neighbours by path stand next to it.
-Each page is paired with the one beside it, of the same host and range, whose path shares the longer beginning (of equal
-ones, that before it). The text lines of a pair are aligned by longest common subsequence and shared lines go.
+Pages are parsed into text lines. What pairing needs of them, places and numbers of lines but no texts, is dealt out by
+ranges of host and path and sorted, so that a page's nearest neighbours by path stand next to it. Each page is paired with
+the one beside it, of the same host, whose path shares the longer beginning (of equal ones, that before it); pages with the
+same lines are no partners. The lines of a pair are aligned by longest common subsequence and shared lines go.
 
 Lines within an article or main element are spared, whoever shares them: copies of an article on one host would delete each
 other. Where a page has such an element, lines outside it go too, and lines within navigation, headers, footers, asides,
@@ -11,16 +12,19 @@ forms, adverts, notices or comments, told by element, role or class, always go.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm.shared import table
+from twinseek.llm.columns import chunks, give_back, xxh64
+from twinseek.llm.shared import cut, new_path, table
 
 # Elements of HTML, and words of classes and roles by which what is no main text is told.
 RAW = "script style noscript template textarea title iframe svg object math".split()
@@ -117,7 +121,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Places in a of a longest common subsequence of the two."""
     common = set(a) & set(b)
     if not common:
@@ -155,68 +159,186 @@ def subsequence(p: np.ndarray, q: np.ndarray) -> list[int]:
     return found + [head + i for i in subsequence(p[:half], q[:cut])] + [head + half + i for i in subsequence(p[half:], q[cut:])]
 
 
-def main_text(page: list[tuple[str, bool, bool]], partner: list[tuple[str, bool, bool]] | None) -> str:
-    """The lines that stay, joined by an empty line."""
-    gone = shared([t for t, _, _ in page], [t for t, _, _ in partner]) if partner else set()
-    article = any(inside and not bad for _, inside, bad in page)
-    return "\n\n".join(t for i, (t, inside, bad) in enumerate(page) if not bad and (inside if article else i not in gone))
+def line_hashes(page: list[tuple[str, bool, bool]]) -> np.ndarray:
+    """A number for each text line."""
+    texts = [t.encode() for t, _, _ in page]
+    at = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+    return xxh64(np.frombuffer(b"".join(texts), np.uint8), at[:-1], np.diff(at)).view(np.int64)
 
 
 def beginning(a: str, b: str) -> int:
+    """Characters that two paths have in common at their beginning."""
     n = min(len(a), len(b))
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row.
+class Page(NamedTuple):
+    """What pairing needs of a page: its place, its lines as numbers, and which of them are told as something else."""
+
+    host: str
+    path: str
+    digest: bytes
+    hashes: np.ndarray
+    bad: np.ndarray
+    asks: bool
+
+
+def gone(page: Page, before: Page | None, after: Page | None) -> list[int] | None:
+    """Of a page's lines that are not told as something else, the numbers of those that it shares with its partner: of the
+    two beside it, of its host, the one whose path shares the longer beginning, of equal ones that before it. None: no partner."""
+    near = [(beginning(x.path, page.path), -k, x) for k, x in enumerate((before, after)) if x is not None and x.host == page.host]
+    if not near:
+        return None
+    lost = shared(page.hashes.tolist(), max(near, key=lambda x: x[:2])[2].hashes.tolist())
+    return [i for i, at in enumerate(np.flatnonzero(~page.bad)) if at in lost]
+
+
+def paired(rows: Iterator[Page], before: list[Page], after: list[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
+    """Each distinct page that asks, with the nearest pages before and after it whose lines are not its own. Rows are in
+    order; `before` and `after` are up to two pages with different lines around them, the nearest first."""
+    recent, run = list(before), []
+
+    def told(upto: list[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
+        last = None
+        for page in run:
+            if page.asks and (page.host, page.path) != last:
+                last = page.host, page.path
+                yield page, next((x for x in recent if x.digest != page.digest), None), next((x for x in upto if x.digest != page.digest), None)
+
+    for page in rows:
+        if run and page.digest != run[0].digest:
+            yield from told([page])
+            recent, run = [run[-1]] + [x for x in recent if x.digest != run[-1].digest][:1], []
+        # Copies are told apart by their places only, so a long run of them holds its lines once.
+        run.append(page._replace(hashes=run[0].hashes, bad=run[0].bad) if run else page)
+    yield from told(after)
+
+
+def ends(rows: Iterator[Page]) -> tuple[list[Page], list[Page]]:
+    """(the first page and the next with other lines, the last page and the one before it with other lines)."""
+    first, last = [], []
+    for page in rows:
+        if not first or len(first) == 1 and page.digest != first[0].digest:
+            first.append(page)
+        last = [page] + ([x for x in last if x.digest != page.digest][:1])
+    return first, last
+
+
+def around(found: dict[int, tuple[list[Page], list[Page]]]) -> dict[int, tuple[list[Page], list[Page]]]:
+    """For each partition that has pages the two nearest pages with different lines before and after it."""
+    out: dict[int, tuple[list[Page], list[Page]]] = {k: ([], []) for k in found}
+    for way, side in ((sorted(found), 1), (sorted(found, reverse=True), 0)):
+        near: list[Page] = []
+        for k in way:
+            out[k][1 - side].extend(near)
+            for page in reversed(found[k][side]):
+                near = [page] + [x for x in near if x.digest != page.digest][:1]
+    return out
+
+
+PLACE = "host string, path string, digest binary, hashes array<long>, bad array<boolean>, asks boolean"
+
+
+def pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
+    for batch in batches:
+        host, path, digest, asks = (batch.column(k).to_pylist() for k in ("host", "path", "digest", "asks"))
+        hashes, bad = batch.column("hashes"), batch.column("bad")
+        for i in range(batch.num_rows):
+            yield Page(host[i], path[i], digest[i], hashes[i].values.to_numpy(), bad[i].values.to_numpy(zero_copy_only=False).astype(bool), asks[i])
+
+
+def record(pages: list[Page], **more) -> pa.RecordBatch:
+    columns = {"host": pa.array([x.host for x in pages], pa.string()), "path": pa.array([x.path for x in pages], pa.string()), "digest": pa.array([x.digest for x in pages], pa.binary())}
+    return pa.record_batch(columns | more)
+
+
+def difference(places: DataFrame) -> DataFrame:
+    """(host, path, digest, gone) of the pages of `places` (PLACE) that ask and have a partner.
 
-    Null pages count as empty and have an empty text. Null URLs, and those without a host, form a host of their own. Pages
-    without a neighbour of their host in their range have no partner. Repeated rows are each other's partners.
+    Pages are sorted by host and path in ranges, so a host may be as large as it likes. Four pages at each range's ends go to
+    the driver and from there to the next ranges: a page's partner does not depend on where ranges end.
     """
+    spark = places.sparkSession
+    rows = cut(places.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest"), spark)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, last = ends(pages_of(batches))
+        both = [(0, k, x) for k, x in enumerate(first)] + [(1, k, x) for k, x in enumerate(last)]
+        if both:
+            numbers = {"task": pa.array(np.full(len(both), TaskContext.get().partitionId())), "side": pa.array([s for s, _, _ in both]), "rank": pa.array([k for _, k, _ in both])}
+            lists = {"hashes": pa.array([x.hashes for _, _, x in both], pa.list_(pa.int64())), "bad": pa.array([x.bad for _, _, x in both], pa.list_(pa.bool_())), "asks": pa.array([x.asks for _, _, x in both])}
+            yield record([x for _, _, x in both], **lists, **numbers)
+
+    found: dict[int, tuple[list[Page], list[Page]]] = {}
+    told = rows.mapInArrow(edges, PLACE + ", task long, side long, rank long").toArrow().sort_by([("task", "ascending"), ("side", "ascending"), ("rank", "ascending")])
+    for task, side, page in zip(told.column("task").to_pylist(), told.column("side").to_pylist(), pages_of(told.to_batches())):
+        found.setdefault(task, ([], []))[side].append(page)
+    beside = spark.sparkContext.broadcast(around(found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        some: list[tuple[Page, list[int]]] = []
+        before, after = beside.value.get(TaskContext.get().partitionId(), ([], []))
+        for page, x, y in paired(pages_of(batches), before, after):
+            lost = gone(page, x, y)
+            if lost is not None:
+                some.append((page, lost))
+            if len(some) >= 1000:
+                yield record([x for x, _ in some], gone=pa.array([x for _, x in some], pa.list_(pa.int32())))
+                some = []
+        if some:
+            yield record([x for x, _ in some], gone=pa.array([x for _, x in some], pa.list_(pa.int32())))
+        give_back()
+
+    return rows.mapInArrow(run, "host string, path string, digest binary, gone array<int>")
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, PLACE) of every row: the lines that may stay, joined by an empty line. A page asks for a partner
+    if it has no article or main element."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select("page_id", "url", F.lower(F.regexp_extract(url, "^[^:/?#]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, "^[^:/?#]*://[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "html")
-    id_type = dict(pages.dtypes)["page_id"]
+    kind = "string" if dict(pages.dtypes)["page_id"] == "string" else "bigint"
+    rows = pages.select(
+        F.col("page_id").cast(kind).alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, "^[^:/?#]*://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, "^[^:/?#]*://[^/?#]*([^?#]*)", 1).alias("path"), F.col("html").cast("string").alias("html"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parsed():
-            for batch in batches:
-                columns = [batch.column(k) for k in ("page_id", "url", "host", "path", "html")]
-                for i in range(batch.num_rows):
-                    page_id, url, host, path, page = (c[i].as_py() for c in columns)
-                    yield page_id, url, host, path, lines(page)
-
-        def told():
-            before, here = None, None
-            for after in chain_end(parsed()):
-                if here is not None:
-                    near = [(beginning(x[3], here[3]), -k, x[4]) for k, x in enumerate((before, after)) if x is not None and x[2] == here[2]]
-                    yield here[0], here[1], main_text(here[4], max(near, key=lambda x: x[:2])[2] if near else None)
-                before, here = here, after
-
-        rows, size = [], 0
-        for row in told():
-            rows.append(row)
-            size += len(row[2])
-            if len(rows) >= 1000 or size > 4 << 20:
-                yield made(rows)
-                rows, size = [], 0
-        if rows:
-            yield made(rows)
-
-    def made(rows: list) -> pa.RecordBatch:
-        ids, urls, texts = zip(*rows)
-        return pa.record_batch({"page_id": pa.array(ids, pa.string() if id_type == "string" else pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    kind = "string" if id_type == "string" else "bigint"
-    rows = rows.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("url", F.col("url").cast("string"))
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
-
-
-def chain_end(rows: Iterator) -> Iterator:
-    """The rows and then None."""
-    yield from rows
-    yield None
+        for part in chunks(batches, "html", 1 << 20):
+            texts, digests, hashes, bad, asks = [], [], [], [], []
+            for i in range(part.num_rows):
+                page = lines(part.column("html")[i].as_py().decode("utf-8", "replace"))
+                article = any(inside and not off for _, inside, off in page)
+                own = line_hashes(page)
+                texts.append("\n\n".join([t for t, inside, off in page if not off and (inside or not article)]))
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                hashes.append(own)
+                bad.append([off for _, _, off in page])
+                asks.append(not article and bool(texts[-1]))
+            lists = {"hashes": pa.array(hashes, pa.list_(pa.int64())), "bad": pa.array(bad, pa.list_(pa.bool_()))}
+            yield pa.record_batch({k: part.column(k) for k in ("page_id", "url", "host", "path")} | {"text": pa.array(texts, pa.string()), "digest": pa.array(digests, pa.binary())} | lists | {"asks": pa.array(asks)})
+
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, text string, digest binary, hashes array<long>, bad array<boolean>, asks boolean")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row.
+
+    Null pages count as empty and have an empty text. Null URLs, and those without a host, form a host of their own. A page
+    whose host has no other page with other lines has no partner and keeps its lines. Repeated rows, and pages with the same
+    lines, are no partners of each other. Other columns are ignored; an empty table gives none.
+    """
+    spark, path = pages.sparkSession, new_path(pages.sparkSession, "pages")
+    parsed(pages).write.parquet(path)
+    rows = spark.read.parquet(path)
+    lost = difference(rows.select("host", "path", "digest", "hashes", "bad", "asks"))
+    asking = rows.filter("asks").select("page_id", "url", "text", "host", "path", "digest").join(lost, ["host", "path", "digest"], "left")
+    kept = F.filter(F.split("text", "\n\n"), lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    texts = rows.filter("not asks").select("page_id", "url", "text").unionByName(asking.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
