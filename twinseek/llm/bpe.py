@@ -2,8 +2,11 @@
 
 A partition's distinct pieces of text go to DuckDB as token-position rows. A recursive query joins adjacent tokens with the
 merge table and contracts each piece's leftmost pair of least rank until no pair is left; an ordered aggregation joins the
-tokens' bytes again. A piece that is a token as it stands is taken whole, as tiktoken does. Pieces of over LONG_PIECE bytes
-would need a round for every byte; these rare ones go to tiktoken itself.
+tokens' bytes again. A piece that is a token as it stands is taken whole, as tiktoken does.
+
+One pair a round would need a round for every byte of a long piece. Pieces of over LONG bytes therefore contract all
+occurrences of the pair of least rank in one round, from the left, up to the first after which a pair of still lower rank
+stands beside the new token: so far one pair after the other would contract the same ones, in the same order.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 from twinseek.llm.columns import Known, chunks, coded, kept, pieces, text_bytes
 from twinseek.llm.shared import table
 
-LONG_PIECE = 1024
-#: Bytes of pieces in one recursive query.
-QUERY_BYTES = 100_000
+#: Bytes of a piece up to which a round contracts one pair.
+LONG = 256
+#: Bytes of pieces in one recursive query, and rows that its rounds make, about; a query that is not done by then goes on in the next.
+QUERY_BYTES, ROUND_ROWS = 100_000, 3_000_000
 
 ENCODE = """
 WITH RECURSIVE seq(gen, piece, pos, id) AS (
@@ -39,6 +43,33 @@ WITH RECURSIVE seq(gen, piece, pos, id) AS (
 SELECT piece, pos, id FROM (SELECT *, max(gen) OVER (PARTITION BY piece) AS last_gen FROM seq) WHERE gen = last_gen
 UNION ALL SELECT piece, 0, id FROM whole
 """
+ENCODE_LONG = """
+WITH RECURSIVE seq(gen, piece, pos, id) AS (
+  SELECT 0, piece, pos, id FROM at_first
+  UNION ALL
+  (WITH pairs AS (
+    SELECT x.piece, x.pos, m.l, m.r, m.merged FROM seq x JOIN seq y ON y.piece = x.piece AND y.pos = x.pos + 1 JOIN merges m ON m.l = x.id AND m.r = y.id),
+  low AS (SELECT piece, min(merged) AS merged FROM pairs GROUP BY piece),
+  hits AS (SELECT pairs.* FROM pairs JOIN low USING (piece, merged)),
+  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY piece ORDER BY pos) AS run FROM hits WHERE l = r),
+  apart AS (
+    SELECT piece, pos, merged FROM hits WHERE l <> r
+    UNION ALL
+    SELECT piece, pos, merged FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY pos) AS k FROM runs) WHERE k % 2 = 1),
+  stops AS (
+    SELECT a.piece, min(a.pos) AS pos FROM apart a JOIN risky ON risky.id = a.merged
+    LEFT JOIN apart b ON b.piece = a.piece AND b.pos = a.pos - 2
+    LEFT JOIN seq before ON before.piece = a.piece AND before.pos = a.pos - 1
+    LEFT JOIN seq after ON after.piece = a.piece AND after.pos = a.pos + 2
+    LEFT JOIN odd o1 ON o1.l = coalesce(b.merged, before.id) AND o1.r = a.merged AND o1.merged < a.merged
+    LEFT JOIN odd o2 ON o2.l = a.merged AND o2.r = after.id AND o2.merged < a.merged
+    WHERE o1.merged IS NOT NULL OR o2.merged IS NOT NULL GROUP BY a.piece),
+  taken AS (SELECT a.* FROM apart a LEFT JOIN stops s USING (piece) WHERE s.pos IS NULL OR a.pos <= s.pos)
+  SELECT s.gen + 1, s.piece, (row_number() OVER (PARTITION BY s.piece ORDER BY s.pos) - 1)::INT, coalesce(t.merged, s.id)
+  FROM seq s JOIN low ON low.piece = s.piece LEFT JOIN taken t ON t.piece = s.piece AND t.pos = s.pos
+  LEFT JOIN taken g ON g.piece = s.piece AND g.pos = s.pos - 1 WHERE g.pos IS NULL AND s.gen < {rounds}))
+SELECT piece, pos, id, gen FROM (SELECT *, max(gen) OVER (PARTITION BY piece) AS last_gen FROM seq) WHERE gen = last_gen
+"""
 DECODE = """
 SELECT piece, count(*) AS n, string_agg(id::VARCHAR, ' ' ORDER BY pos) || ' ' AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS bytes
 FROM encoded JOIN tokens t USING (id) GROUP BY piece ORDER BY piece
@@ -55,19 +86,20 @@ class Coder:
 
     def __init__(self, path: str):
         import duckdb
-        import public_tokenizers
-        import tiktoken
 
         self.ranks, self.known = read_ranks(path), Known()
-        self.tiktoken = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         pairs = [(a, b, m) for token, m in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '150MB'")
+        self.db.execute("SET memory_limit = '300MB'")
+        self.db.execute("SET temp_directory = ''")  # what a query makes is bounded
         l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
         self.table("merges_in", {"l": l, "r": r, "merged": m})
         self.db.execute("CREATE TABLE merges AS FROM merges_in")
+        # Pairs whose token ranks below one of its parts, and such parts.
+        self.db.execute("CREATE TABLE odd AS FROM merges WHERE merged < l OR merged < r")
+        self.db.execute("CREATE TABLE risky AS SELECT DISTINCT id FROM (SELECT l AS id FROM odd WHERE merged < l UNION ALL SELECT r FROM odd WHERE merged < r)")
         self.table("tokens_in", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([x.hex() for x in self.ranks])})
         self.db.execute("CREATE TABLE tokens AS FROM tokens_in")
 
@@ -88,18 +120,23 @@ class Coder:
     def code(self, new: pa.Array, data: np.ndarray, at: np.ndarray) -> list[pa.Array]:
         n = np.diff(at)
         whole = np.array([self.ranks.get(x, -1) for x in new.to_pylist()], np.int32)
-        long = np.flatnonzero((whole < 0) & (n > LONG_PIECE))
-        on = (whole < 0) & (n <= LONG_PIECE)
         position = np.arange(len(data)) - np.repeat(at[:-1], n)
-        use = np.repeat(on, n)
-        self.table("at_first", {"piece": pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)[use]), "pos": pa.array(position[use].astype(np.int32)), "id": pa.array(self.bytes[data][use])})
-        rows = [(np.flatnonzero(whole >= 0).astype(np.int32), np.zeros((whole >= 0).sum(), np.int32), whole[whole >= 0])]
-        for i in long:
-            ids = self.tiktoken._encode_single_piece(new[int(i)].as_py())
-            rows.append((np.full(len(ids), i, np.int32), np.arange(len(ids), dtype=np.int32), np.array(ids, np.int32)))
-        piece, pos, ids = (np.concatenate(x) for x in zip(*rows))
-        self.table("whole_in", {"piece": pa.array(piece), "pos": pa.array(pos), "id": pa.array(ids)})
-        self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + ENCODE.replace("SELECT piece, 0, id FROM whole", "SELECT piece, pos, id FROM whole_in"))
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        wholes = {"piece": pa.array(np.flatnonzero(whole >= 0).astype(np.int32)), "id": pa.array(whole[whole >= 0])}
+        self.table("whole", wholes)
+        use = np.repeat((whole < 0) & (n <= LONG), n)
+        self.table("at_first", {"piece": pa.array(owner[use]), "pos": pa.array(position[use].astype(np.int32)), "id": pa.array(self.bytes[data][use])})
+        self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + ENCODE)
+        use = np.repeat((whole < 0) & (n > LONG), n)
+        rows = pa.table({"piece": pa.array(owner[use]), "pos": pa.array(position[use].astype(np.int32)), "id": pa.array(self.bytes[data][use])})
+        while rows.num_rows:
+            rounds = max(1, ROUND_ROWS // rows.num_rows)
+            self.db.register("at_first", rows)
+            got = self.db.sql(ENCODE_LONG.replace("{rounds}", str(rounds))).to_arrow_table()
+            done = pc.less(got.column("gen"), rounds)
+            self.db.register("found", got.filter(done).select(["piece", "pos", "id"]))
+            self.db.execute("INSERT INTO encoded FROM found")
+            rows = got.filter(pc.invert(done)).select(["piece", "pos", "id"])
         got = self.db.sql(DECODE).to_arrow_table().combine_chunks()
         columns = [got.column(k).cast(t).combine_chunks() for k, t in (("n", pa.int64()), ("ids", pa.large_binary()), ("bytes", pa.large_binary()))]
         return [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns]

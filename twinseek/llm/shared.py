@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none, as in tests, a temporary one."""
+    """The cluster's shared folder; where a local session names none, as in tests, a temporary one. Elsewhere there must be one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context._jsc.sc().getCheckpointDir().isDefined() and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="twinseek-"))
     return named or context._jsc.sc().getCheckpointDir().get()
