@@ -12,22 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinseek.llm.columns import Known, chunks, coded, kept, pieces, ranges
+from twinseek.llm.columns import Known, chunks, clean_utf8, coded, kept, pieces, ranges
 from twinseek.llm.shared import cut, new_path, table
 
 OPTIONS = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
 def encoder(path: str):
-    """The tokenizer's ids for distinct pieces of text, each piece encoded once while it is known."""
+    """The tokenizer, its added tokens, and what gives its ids for distinct pieces of text, each encoded once while it is known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def make(new: pa.Array) -> list[pa.Array]:
         offsets, values = [np.zeros(1, np.int64)], []
@@ -37,12 +37,27 @@ def encoder(path: str):
             values += [np.array(sum(found, []) if len(found) < 2 else [y for x in found for y in x], np.int32)]
         return [pa.LargeListArray.from_arrays(pa.array(np.concatenate(offsets)), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))]
 
-    return make, Known(1_000_000)
+    return tokenizer, [x.content for x in tokenizer.get_added_tokens_decoder().values()], make, Known(1_000_000)
 
 
 def encode(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, each text's first id), with end_id after each text's ids. Pieces are those of the file's own byte-level splitter."""
-    make, known = kept(f"encoder {path}", lambda: encoder(path))
+    """(ids, each text's first id), with end_id after each text's ids. Pieces are those of the file's own byte-level splitter.
+
+    Texts that hold one of the file's added tokens go to the library whole, which takes such tokens out before it splits.
+    """
+    tokenizer, added, make, known = kept(f"encoder {path}", lambda: encoder(path))
+    texts = clean_utf8(texts.cast(pa.large_binary()))
+    special = np.zeros(len(texts), bool)
+    for content in added:
+        special |= pc.match_substring(texts, content.encode()).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(special)
+    if len(rows):
+        own = [np.array(tokenizer.encode(texts[int(i)].as_py().decode(), add_special_tokens=False).ids, np.int32) for i in rows]
+        ids, offsets = encode(pc.if_else(pa.array(special), b"", texts), path, end_id)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[rows] = [len(x) for x in own]
+        ids = np.insert(ids, np.repeat(offsets[rows], sizes[rows]), np.concatenate(own))
+        return ids, offsets + np.append(0, np.cumsum(sizes))
     data, at, doc = pieces(texts)
     distinct, codes = coded(data, at)
     rows, (lists,) = known.look_up(distinct, make)
