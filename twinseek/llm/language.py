@@ -12,22 +12,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinseek.llm.columns import LETTER, Known, char_classes, chunks, clean_utf8, code_points, coded, held_out, kept, text_bytes
 from twinseek.llm.shared import table
 
-#: Letters of a word that are scored together, the longest piece, and the probability of a letter outside the vocabulary.
-SPAN, PIECE, UNKNOWN = 32, 8, 1e-7
-#: Documents of each language that the probabilities are learned from, at most: those of least hash. Languages at most.
-SAMPLE, LANGUAGES = 600, 200
+#: The probability of a letter outside the vocabulary.
+UNKNOWN = 1e-7
+#: Letters of words that are scored side by side, at most: longer words would go below the least number, so they go one by one.
+SIDE = 32
+#: Documents of each language that the probabilities are learned from, at most: those of least hash.
+SAMPLE = 600
+#: Numbers that a task keeps of words that it has scored, at most, and makes at once: fewer words where there are more languages.
+KEPT, AT_ONCE = 2_000_000, 100_000
 START = 0x2581
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points of lower-cased letters, each word's offset, each text's first word); a word has SPAN letters at most."""
+    """(code points of lower-cased letters, each word's offset, each text's first word)."""
     lowered = pc.utf8_lower(clean_utf8(texts).cast(pa.large_string()))
     data, offsets = text_bytes(lowered)
     points = code_points(data)
@@ -40,9 +44,6 @@ def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     where = np.flatnonzero(inside)
-    if len(starts):
-        own = np.repeat(starts, np.diff(np.append(np.searchsorted(where, starts), len(where))))
-        starts = where[(where - own) % SPAN == 0]
     return points[where], np.append(np.searchsorted(where, starts), len(where)), np.searchsorted(starts, doc)
 
 
@@ -54,8 +55,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        names = sorted({x.lower() for x in names if len(x) <= PIECE and (x.lstrip("▁").isalpha() or x == "▁") and x.count("▁") <= 1})
-        self.size = len(names)
+        names = sorted({x.lower() for x in names if (x.lstrip("▁").isalpha() or x == "▁") and x.count("▁") <= 1})
+        self.size, self.longest = len(names), max(map(len, names))
         hashes = np.zeros(len(names), np.uint64)
         for i, x in enumerate(names):
             h = np.zeros(1, np.uint64)
@@ -87,7 +88,7 @@ class Vocabulary:
         with np.errstate(over="ignore"):
             for i in range(length):
                 h = np.zeros(n, np.uint64)
-                for j in range(i, min(length, i + PIECE)):
+                for j in range(i, min(length, i + self.longest)):
                     h = (h + words[:, j].astype(np.uint64)) * MULTIPLIER
                     rows, found = self.find(h)
                     if j == i and len(rows) < n:
@@ -99,9 +100,10 @@ class Vocabulary:
                         yield i, j + 1, rows, found
 
     def groups(self, points: np.ndarray, offsets: np.ndarray, most: int = 20000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(numbers, matrix) of words of one length, each with the mark of a word's start."""
+        """(numbers, matrix) of words of one length, SIDE at most, each with the mark of a word's start."""
         sizes = np.diff(offsets)
         order = np.argsort(sizes, kind="stable")
+        order = order[: np.searchsorted(sizes[order], SIDE, side="right")]
         edges = np.flatnonzero(np.diff(sizes[order], prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(order))):
             for lo in range(a, b, most):
@@ -112,11 +114,47 @@ class Vocabulary:
                 matrix[:, 1:] = points[offsets[own][:, None] + np.arange(size)]
                 yield own, matrix
 
+    def long_words(self, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(number, letters with the mark of a word's start) of each word of over SIDE letters."""
+        for i in np.flatnonzero(np.diff(offsets) > SIDE):
+            yield int(i), np.append(np.uint32(START), points[offsets[i] : offsets[i + 1]].astype(np.uint32))
+
+    def spans(self, word: np.ndarray) -> np.ndarray:
+        """By length less one and first letter: the piece that these letters of a long word are, -1 for an unknown letter, -2 for none."""
+        n = len(word)
+        out = np.full((self.longest, n), -2, np.int32)
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(min(self.longest, n)):
+                h = (h[: n - k] + word[k:].astype(np.uint64)) * MULTIPLIER
+                rows, found = self.find(h)
+                if k == 0:
+                    out[0] = -1
+                out[k][rows] = found
+        return out
+
+    def chain(self, spans: np.ndarray, chances: np.ndarray, back: bool = False) -> np.ndarray:
+        """ln of the sum over all segmentations of the letters before each place of a long word, with back of those from it on,
+        by place and language. Sums are taken beside their largest part, so that no word is too long."""
+        longest, n = spans.shape
+        known = np.append(chances, np.zeros((1, chances.shape[1])), axis=0)  # -1 is the unknown letter, -2 none
+        rows = np.where(spans >= 0, spans, np.where(spans == -1, len(chances) - 1, len(chances))).astype(np.int32)
+        out = np.zeros((n + 1, chances.shape[1]))
+        for j in range(n - 1, -1, -1) if back else range(1, n + 1):
+            k = np.arange(min(longest, n - j if back else j))
+            others = j + k + 1 if back else j - k - 1
+            steps = known[rows[k, j] if back else rows[k, others]]
+            top = out[others].max(0)
+            out[j] = top + np.log(np.maximum((steps * np.exp(out[others] - top)).sum(0), 1e-300))
+        return out
+
     def score(self, points: np.ndarray, offsets: np.ndarray, chances: np.ndarray) -> np.ndarray:
         """ln of each word's probability in each language. chances: by piece and language, the last row for unknown letters."""
         out = np.zeros((len(offsets) - 1, chances.shape[1]))
-        for own, matrix in self.groups(points, offsets):
+        for own, matrix in self.groups(points, offsets, max(1, AT_ONCE // chances.shape[1])):
             out[own] = np.log(self.forward(matrix, chances)[-1])
+        for i, word in self.long_words(points, offsets):
+            out[i] = self.chain(self.spans(word), chances)[-1]
         return out
 
     def forward(self, matrix: np.ndarray, chances: np.ndarray) -> np.ndarray:
@@ -133,7 +171,7 @@ class Vocabulary:
         chances[-1] = UNKNOWN
         for _ in range(rounds):
             found_counts = np.zeros((self.size + 1, languages))
-            for own, matrix in self.groups(points, offsets):
+            for own, matrix in self.groups(points, offsets, max(1, AT_ONCE // languages)):
                 alpha = self.forward(matrix, chances)
                 beta = np.zeros_like(alpha)
                 weight = counts[own] / np.maximum(alpha[-1], 1e-300)
@@ -144,6 +182,14 @@ class Vocabulary:
                     gain = alpha[i][rows] * step * weight[rows]
                     for k in range(languages):
                         found_counts[:, k] += np.bincount(np.where(found < 0, self.size, found), weights=gain[:, k], minlength=self.size + 1)
+            for w, word in self.long_words(points, offsets):
+                spans = self.spans(word)
+                before, after = self.chain(spans, chances), self.chain(spans, chances, back=True)
+                for k in range(len(spans)):
+                    at = np.flatnonzero(spans[k] > -2)
+                    pieces = np.where(spans[k][at] < 0, self.size, spans[k][at])
+                    gain = np.exp(before[at] + np.log(chances[pieces]) + after[at + k + 1] - before[-1]) * counts[w]
+                    np.add.at(found_counts, pieces, gain)
             chances = (found_counts + 0.01) / (found_counts[:-1].sum(0) + 0.01 * self.size)
             chances[-1] = UNKNOWN
         return chances
@@ -154,16 +200,21 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def train(docs: DataFrame, path: str, train_where, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, chances) from the rows where train_where holds and lang is known: `sample` of each language at most."""
+    """(languages, chances) from the rows where train_where holds and lang is known: `sample` of each language at most.
+
+    What reaches the driver grows with the number of languages, of which a corpus has some hundreds at most: `sample` keys and
+    the words of as many texts, and chances of 260 KB, for each.
+    """
     rows = docs.filter(train_where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect())
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # Tasks send `sample` keys of each language at most: the limit on the rank is applied before the exchange too.
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    picked = rows.select("lang", key.alias("key")).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "key").toArrow()
+    names = sorted(set(picked.column("lang").to_pylist()))
     if not names:
         return [], np.zeros((vocabulary(path).size + 1, 0))
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
-    picked = [r["key"] for name in names for r in rows.filter(F.col("lang") == name).select(key.alias("key")).orderBy("key").limit(sample).collect()]
-    chosen = rows.withColumn("key", key).join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(set(picked))], "key long")), "key", "left_semi")
+    keys = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(picked.column("key").to_pylist()))], "key long")
+    chosen = rows.withColumn("key", key).join(F.broadcast(keys), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -195,7 +246,7 @@ def predict(docs: DataFrame, path: str, names: list[str], chances: np.ndarray, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, chances = model.value
-        words, known = vocabulary(path), Known()
+        words, known = vocabulary(path), Known(max(1000, KEPT // max(1, len(names))))
 
         def make(new: pa.Array) -> list[pa.Array]:
             data, at = text_bytes(new)
