@@ -1,10 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator; and brute force."""
 
 import hashlib
-import math
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +10,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, jpeg, language, maxent, mixing, neighbours, pages, simhash, token_orc, toxicity
+from twinseek.llm import bpe, jpeg, language, mixing, neighbours, pages, simhash, token_orc, toxicity
 from twinseek.llm.shared import new_path
 
 LONG = "The quick word " * 20000
@@ -187,48 +184,3 @@ def test_segmentations_are_all_summed():
     points = np.array([ord(c) for c in "thesezß"], np.uint32)
     got = words.score(points, np.array([0, 5, 7]), chances)
     assert np.allclose(got[:, 0], np.log([brute("▁these"), brute("▁zß")]))
-
-
-def test_maxent(docs, empty):
-    model, counts = maxent.train(docs, F.lit(True))
-    got = maxent.score(docs, model, counts).collect()
-    assert len(got) == len(ROWS) and all(r["n_known"] == r["n_tokens"] and r["score"] <= 0 for r in got)
-    texts = [(t or "").lower().encode() for _, t, *_ in ROWS]
-    every = [[w for w in re.split(rb"[\x20\x09-\x0D]+", t) if w] + [b" "] for t in texts]
-    c = Counter(w for ws in every for w in ws)
-    total = sum(c.values())
-    want = sorted((len(ws), round(sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in ws), 4)) for ws in every)
-    assert sorted((r["n_tokens"], round(r["base_score"], 4)) for r in got) == want and {r["train_tokens"] for r in got} == {total}
-    model, counts = maxent.train(empty, F.lit(True))
-    assert maxent.score(empty, model, counts).count() == 0
-    assert all(r["n_known"] == 0 for r in maxent.score(docs, model, counts).collect())
-
-
-def test_maxent_counts_words_beside_each_other(docs):
-    """Against a plain count over all texts; words of over LONGEST bytes are not in the dictionary."""
-    model, _ = maxent.train(docs, F.lit(True), rounds=0)
-    ids = {w.as_py(): i for i, w in enumerate(model.words)}
-    want = Counter()
-    for _, t, *_ in ROWS:
-        own = [ids.get(w, 10**9) for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").lower().encode()) if w] + [0]
-        for i, a in enumerate(own):
-            want.update((a, own[j]) for j in (i - 2, i - 1, i + 1, i + 2) if a < len(ids) and 0 <= j < len(own) and 0 < own[j] <= maxent.CONTEXT)
-    got = maxent.beside(docs.select(F.coalesce("text", F.lit("")).alias("text")), model)
-    assert {(int(a), int(b) + 1): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == want
-
-
-def test_maxent_chances_sum_to_one(docs):
-    model, _ = maxent.train(docs, F.lit(True))
-    chance = maxent.softmax(maxent.logits(model.weights, [np.arange(9) + k for k in range(maxent.FEATURES)]).astype(np.float64))
-    assert np.allclose(chance.sum(1), 1)
-    inside = np.bincount(model.cls, weights=model.counts / model.class_n[model.cls], minlength=maxent.CLASSES)
-    assert np.allclose(inside[inside > 0], 1)
-
-
-def test_maxent_words_beyond_the_dictionary(docs, monkeypatch):
-    model, counts = maxent.train(docs, F.lit(True), rounds=0)
-    whole = {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in maxent.score(docs, model, counts).collect()}
-    monkeypatch.setattr(maxent, "DICTIONARY", 4)
-    model, counts = maxent.train(docs, F.lit(True), rounds=1)
-    assert len(model.words) <= 5
-    assert {(r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in maxent.score(docs, model, counts).collect()} == whole

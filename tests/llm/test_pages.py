@@ -41,7 +41,8 @@ def site(seed=0):
 def brute(rows):
     """Texts by scanning all pages of the host for the nearest ones with other lines."""
     split = [(u.split("/")[2], "/" + u.split("/", 3)[3], pages.lines(h)) for _, u, h in rows]
-    keys = [(host, path, page and pages.hashlib.blake2b(pages.line_hashes(page).tobytes(), digest_size=16).digest()) for host, path, page in split]
+    hashes = pages.line_hashes([page for _, _, page in split])
+    keys = [(host, path, pages.hashlib.blake2b(own.tobytes(), digest_size=16).digest()) for (host, path, _), own in zip(split, hashes)]
     out = []
     for (host, path, page), key in zip(split, keys):
         texts = [t for t, _, _ in page]
