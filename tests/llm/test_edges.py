@@ -146,7 +146,7 @@ def test_jpeg(docs, empty):
 def test_bpe(docs, empty):
     ranks = bpe.read_ranks(FAST)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.encode_decode(docs, FAST, texts_too=True).collect()
+    got = bpe.encode_decode(docs, FAST, ids_too=True, texts_too=True).collect()
     assert len(got) == len(ROWS)
     for r in got:
         assert r["ids"] in [own.encode_ordinary(t or "") for i, t, *_ in ROWS if i == r["doc_id"]]

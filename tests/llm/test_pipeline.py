@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from twinseek.llm import copies
+from twinseek.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -54,7 +54,7 @@ def test_near_copies_are_those_of_brute_force(spark):
     want = components(rows)
     assert 50 < sum(i != c for i, c in want.items()) < len(rows) - 40
     docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], SCHEMA).repartition(5)
-    assert {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
     kept = corpus_pipeline.drop_copies(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 

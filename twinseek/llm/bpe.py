@@ -146,8 +146,8 @@ def coder(path: str) -> Coder:
     return kept(f"duckdb bpe {path}", lambda: Coder(path))
 
 
-def encode_decode(docs: DataFrame, path: str, texts_too: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with texts_too also (ids, decoded), of every row.
+def encode_decode(docs: DataFrame, path: str, ids_too: bool = False, texts_too: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids_too also ids, with texts_too also the decoded bytes, of every row.
 
     Null texts count as empty; the empty text has no ids, and its digests are those of nothing. Null or repeated ids and
     other columns make no difference.
@@ -162,21 +162,21 @@ def encode_decode(docs: DataFrame, path: str, texts_too: bool = False) -> DataFr
             rows = pa.array(rows[codes])
             n = np.append(0, np.cumsum(columns[0].take(rows).to_numpy()))[doc]
             out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(n).astype(np.int64))}
-            texts = {}
             for name, column, cut_off in (("ids", columns[1], 1), ("decoded", columns[2], 0)):
                 all_bytes, ends = text_bytes(column.take(rows))
                 ends = ends[doc]
                 view = memoryview(np.ascontiguousarray(all_bytes))
                 spans = [(a, max(a, b - cut_off)) for a, b in zip(ends[:-1], ends[1:])]
                 out[f"{name}_sha256"] = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in spans], pa.string())
-                if texts_too:
-                    texts[name] = [bytes(view[a:b]) for a, b in spans]
-            if texts_too:
-                out["ids"] = pa.array([[int(x) for x in t.split()] for t in texts["ids"]], pa.list_(pa.int32()))
-                out["decoded"] = pa.array(texts["decoded"], pa.binary())
-            yield pa.record_batch(out)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * texts_too
+                if name == "ids" and ids_too:
+                    values = np.fromstring(bytes(view), np.int32, sep=" ") if len(view) else np.zeros(0, np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(values))
+                if name == "decoded" and texts_too:
+                    out["decoded"] = pa.array([bytes(view[a:b]) for a, b in spans], pa.binary())
+            yield pa.record_batch({k.split()[0]: out[k.split()[0]] for k in schema.split(", ")})
+
+    more = ["ids array<int>"] * ids_too + ["decoded binary"] * texts_too
+    schema = ", ".join(["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *more])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

@@ -159,11 +159,12 @@ def subsequence(p: np.ndarray, q: np.ndarray) -> list[int]:
     return found + [head + i for i in subsequence(p[:half], q[:cut])] + [head + half + i for i in subsequence(p[half:], q[cut:])]
 
 
-def line_hashes(page: list[tuple[str, bool, bool]]) -> np.ndarray:
-    """A number for each text line."""
-    texts = [t.encode() for t, _, _ in page]
+def line_hashes(pages: list[list[tuple[str, bool, bool]]]) -> list[np.ndarray]:
+    """A number for each text line of each page."""
+    texts = [t.encode() for page in pages for t, _, _ in page]
     at = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
-    return xxh64(np.frombuffer(b"".join(texts), np.uint8), at[:-1], np.diff(at)).view(np.int64)
+    found = xxh64(np.frombuffer(b"".join(texts), np.uint8), at[:-1], np.diff(at)).view(np.int64)
+    return np.split(found, np.cumsum([len(page) for page in pages])[:-1])
 
 
 def beginning(a: str, b: str) -> int:
@@ -308,16 +309,13 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html", 1 << 20):
-            texts, digests, hashes, bad, asks = [], [], [], [], []
-            for i in range(part.num_rows):
-                page = lines(part.column("html")[i].as_py().decode("utf-8", "replace"))
-                article = any(inside and not off for _, inside, off in page)
-                own = line_hashes(page)
-                texts.append("\n\n".join([t for t, inside, off in page if not off and (inside or not article)]))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                hashes.append(own)
-                bad.append([off for _, _, off in page])
-                asks.append(not article and bool(texts[-1]))
+            found = [lines(page.decode("utf-8", "replace")) for page in part.column("html").to_pylist()]
+            article = [any(inside and not off for _, inside, off in page) for page in found]
+            texts = ["\n\n".join([t for t, inside, off in page if not off and (inside or not has)]) for page, has in zip(found, article)]
+            hashes = line_hashes(found)
+            digests = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in hashes]
+            bad = [[off for _, _, off in page] for page in found]
+            asks = [not has and bool(text) for has, text in zip(article, texts)]
             lists = {"hashes": pa.array(hashes, pa.list_(pa.int64())), "bad": pa.array(bad, pa.list_(pa.bool_()))}
             yield pa.record_batch({k: part.column(k) for k in ("page_id", "url", "host", "path")} | {"text": pa.array(texts, pa.string()), "digest": pa.array(digests, pa.binary())} | lists | {"asks": pa.array(asks)})
 

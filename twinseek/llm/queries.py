@@ -1,4 +1,4 @@
-"""The subpackage's queries, by name. None of them can be told in SQL; tests/llm holds them against brute force."""
+"""The subpackage's queries, by name. None of them can be told in SQL; tests/llm/test_contracts.py holds them against plain Python."""
 
 from __future__ import annotations
 
