@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, copies, language, mixing, toxicity
+from twinseek.llm import bpe, language, mixing, simhash, toxicity
 from twinseek.llm.columns import held_out
 from twinseek.llm.shared import new_path, table
 
@@ -20,7 +20,8 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts and texts without a letter. Rows with a null or repeated id are judged like
+    others; other columns than those of documents go; an empty table gives an empty one."""
     names = _columns(docs)
     path = public_tokenizers.path("piece_bpe_32k.model")
     found = language.identify(docs, path, keep=tuple(n for n in names if n not in ("doc_id", "text")), text_too=True)
@@ -28,7 +29,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go. The model learns from the labels of documents that are there."""
+    """Documents that are predicted toxic go. The model learns from the labels of documents that are there; without any, all
+    documents stay. Null texts count as empty. Rows with a null or repeated id are judged like others."""
     names = _columns(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
     found = toxicity.scored(docs, model, keep=tuple(n for n in names if n not in ("doc_id", "text")), text_too=True)
@@ -41,7 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates share four fifths of their distinct five-word shingles or more, by exact comparison.
     """
     names = _columns(docs)
-    found = copies.near_copies(docs)
+    found = simhash.similar_texts(docs)
     stay = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     rows = docs.select(*names).join(stay, "doc_id")
     once, more = rows.filter("count = 1"), rows.filter("count > 1").dropDuplicates(["doc_id"])
@@ -49,14 +51,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated, as their weights ask; none is lost."""
+    """Documents of small sources are repeated, as their weights ask; none is lost. A null source is a source of its own, null
+    and empty texts have no tokens; an empty table gives an empty one."""
     names = _columns(docs)
     return mixing.realised(docs.select(*names)).select(*names)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids by byte-level BPE, and digests of them and of the bytes that they decode to."""
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) by byte-level BPE: the ids, and digests of them and of the bytes that
+    they decode to. A document that stands repeatedly is encoded as often. Null texts count as empty."""
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids_too=True)
 
 
 STAGES = [
@@ -66,7 +70,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("tokens", to_tokens),
 ]
-#: Models and fingerprints are beyond SQL; tests/llm holds the stages against brute force.
+#: Models and fingerprints are beyond SQL; tests/llm/test_pipeline.py holds stages and run() against plain Python.
 ORACLE_SQL = None
 
 
