@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm.columns import Known, chunks, coded, kept, pieces, text_bytes
+from twinseek.llm.columns import Known, chunks, coded, give_back, kept, pieces, text_bytes
 from twinseek.llm.shared import table
 
 #: Bytes of a piece up to which a round contracts one pair.
 LONG = 256
 #: Bytes of pieces in one recursive query, and rows that its rounds make, about; a query that is not done by then goes on in the next.
-QUERY_BYTES, ROUND_ROWS = 100_000, 3_000_000
+QUERY_BYTES, ROUND_ROWS = 100_000, 1_000_000
 
 ENCODE = """
 WITH RECURSIVE seq(gen, piece, pos, id) AS (
@@ -92,7 +92,7 @@ class Coder:
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '300MB'")
+        self.db.execute("SET memory_limit = '150MB'")
         self.db.execute("SET temp_directory = ''")  # what a query makes is bounded
         l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
         self.table("merges_in", {"l": l, "r": r, "merged": m})
@@ -102,6 +102,7 @@ class Coder:
         self.db.execute("CREATE TABLE risky AS SELECT DISTINCT id FROM (SELECT l AS id FROM odd WHERE merged < l UNION ALL SELECT r FROM odd WHERE merged < r)")
         self.table("tokens_in", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([x.hex() for x in self.ranks])})
         self.db.execute("CREATE TABLE tokens AS FROM tokens_in")
+        give_back()
 
     def table(self, name: str, columns: dict) -> None:
         self.db.register(name, pa.table(columns))

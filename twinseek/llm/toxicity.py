@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     if not rows:
         return None
-    texts, y = [np.frombuffer(r["ids"], np.uint16).astype(np.int32).reshape(-1, 1 + len(STEMS)) for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows])
+    texts, y = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 1 + len(STEMS)) for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows])
     order = np.random.default_rng(SEED).permutation(len(rows))
     cut = len(rows) // 4
     model = Model()
