@@ -276,13 +276,13 @@ def difference(places: DataFrame) -> DataFrame:
     told = rows.mapInArrow(edges, PLACE + ", task long, side long, rank long").toArrow().sort_by([("task", "ascending"), ("side", "ascending"), ("rank", "ascending")])
     for task, side, page in zip(told.column("task").to_pylist(), told.column("side").to_pylist(), pages_of(told.to_batches())):
         found.setdefault(task, ([], []))[side].append(page)
-    beside = spark.sparkContext.broadcast(around(found))
+    beside = spark.sparkContext.broadcast({k: tuple([tuple(x) for x in side] for side in both) for k, both in around(found).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         some: list[tuple[Page, list[int]]] = []
-        before, after = beside.value.get(TaskContext.get().partitionId(), ([], []))
+        before, after = ([Page(*x) for x in side] for side in beside.value.get(TaskContext.get().partitionId(), ([], [])))
         for page, x, y in paired(pages_of(batches), before, after):
             lost = gone(page, x, y)
             if lost is not None:

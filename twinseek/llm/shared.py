@@ -31,7 +31,3 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)

@@ -55,6 +55,16 @@ def languages() -> np.ndarray:
 
 
 class Model:
+    """Tasks get a model's values, from which of() makes it again: they need not be able to import this class."""
+
+    @classmethod
+    def of(cls, values: dict | None) -> Model | None:
+        if values is None:
+            return None
+        model = cls.__new__(cls)
+        model.__dict__ = values
+        return model
+
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.embedding = np.zeros((BUCKETS, DIMS), np.float32)
@@ -227,10 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, train_where, sample: int = SAMPLE,
     model = Model()
     model.fit([texts[i] for i in order[cut:]], y[order[cut:]], epochs)
     fitted = spark.createDataFrame([(rows[i]["doc_id"],) for i in order[cut:]], "doc_id long")
-    told = spark.sparkContext.broadcast(model)
+    told = spark.sparkContext.broadcast(vars(model).copy())
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kinds = told.value, languages()
+        model, kinds = Model.of(told.value), languages()
         for part in chunks(batches, most=2 << 20):
             found, doc = buckets(part.column("text"))
             level = np.floor(np.clip(model.logits(found, doc), -FURTHEST, FURTHEST) * LEVELS).astype(np.int64)
@@ -249,11 +259,11 @@ def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), tex
 
     Null texts count as empty, which have a score too; without a model every score is 0.
     """
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    told = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model).copy())
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, spoken = told.value, languages()
+        model, spoken = Model.of(told.value), languages()
         for part in chunks(batches, most=2 << 20):
             ids, doc = buckets(part.column("text"))
             score = model.score(ids, doc, spoken) if model is not None else np.zeros(part.num_rows)
