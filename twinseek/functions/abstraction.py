@@ -80,8 +80,12 @@ def by_text(make: Callable, kind: str = "string") -> Callable[..., Column]:
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if row[0] is None else make(*row) for row in zip(*columns)], dtype=object)
 
-    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)
+    def structs(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([make(*row) for row in zip(*columns)])
+
+    of = structs if kind.startswith("struct") else run
+    of.__annotations__ = {"columns": pd.Series, "return": pd.DataFrame if of is structs else pd.Series}
+    return F.pandas_udf(of, kind)
 
 
 def tokens(s: Column) -> Column:
@@ -118,6 +122,17 @@ def symbols_of(code: Column, language: str = "c") -> Column:
     return let(comments_to_blanks(code), of)
 
 
+def symbols_by(code: Column, tool: Callable[[str], dict[str, list[str]]]) -> Column:
+    """U4: the symbols that an outside tool tells of each text, as symbols_of() gives them. What it does not tell is empty."""
+    parts = ("parameters", "locals", "types", "calls", "functions")
+
+    def of(text: str) -> dict:
+        found = tool(text)
+        return {p: list(found.get(p, [])) for p in parts}
+
+    return by_text(of, "struct<" + ",".join(f"{p}:array<string>" for p in parts) + ">")(code)
+
+
 def relabel(code: Column, symbols: Column, parts: tuple[str, ...] = ("calls", "types", "locals", "parameters")) -> Column:
     """B2, B2e: every token that is a known name gets its label, whatever its role; of several labels parameters win, then
     locals, types, calls. With other parts, B6-B8."""

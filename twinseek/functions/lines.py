@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinseek.functions.abstraction import by_text
 from twinseek.functions.text import let, normalize, strip, strip_comments
 
 #: Shortest normalised line that counts.
@@ -44,8 +45,7 @@ def essential_patch(fo: Column, fd: Column, fp: Column) -> Column:
 
 def dependent(lines: Column, dependencies: Column) -> Column:
     """Lines that hold one of the dependencies."""
-    both = F.struct(lines.alias("lines"), dependencies.alias("deps"))
-    return let(both, lambda b: F.filter(b["lines"], lambda x: F.exists(b["deps"], lambda d: x.contains(d))))
+    return by_text(lambda own, deps: [x for x in own if any(d in x for d in deps)], "array<string>")(lines, dependencies)
 
 
 def control_flow(lines: Column, statements: Column) -> Column:

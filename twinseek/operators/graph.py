@@ -1,11 +1,15 @@
-"""Code graphs as edge tables: parsing, system code, one-hop neighbours of lines."""
+"""Code graphs as edge tables with a key for each function: parsing, system code, one-hop neighbours of lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import subprocess
+import tempfile
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinseek.functions.text import BLANK
+from twinseek.functions.text import BLANK, strip
 
 # Codes that are no user's, and kinds of edges.
 EMPTY_CODES = ["<empty>", "N/A", "Error", "None"]
@@ -24,14 +28,16 @@ def user_code(code: Column) -> Column:
     return ~system_code(code)
 
 
-def edges(lines: DataFrame) -> DataFrame:
-    """Edges of lines (pos, line) between their markers; in seven parts at colons, the last with the rest. Edges whose both
-    ends are system code go. A line number that is none is -1."""
-    marks = lines.agg(F.min(F.when(F.trim("line") == "EDGES_START", F.col("pos"))).alias("a"), F.min(F.when(F.trim("line") == "EDGES_END", F.col("pos"))).alias("b"))
-    parts = F.split(F.trim("line"), ":", 7)
+def edges(lines: DataFrame, key: str = "key") -> DataFrame:
+    """Edges of lines (key, pos, line), a graph for each key, between their markers; in seven parts at colons, the last with
+    the rest. Edges whose both ends are system code go. A line number that is none is -1."""
+    text = strip(F.col("line"))
+    mark = F.when(text == "EDGES_START", 1).when(text == "EDGES_END", 0)
+    within = F.last(mark, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos"))
+    parts = F.split(text, ":", 7)
     number = lambda x: F.when(x.rlike(r"\A[0-9]+\z"), x.cast("int")).otherwise(-1)
-    found = lines.join(F.broadcast(marks), (F.col("pos") > F.col("a")) & (F.col("pos") < F.coalesce("b", F.lit(1 << 62)))).select(parts.alias("p")).filter((F.size("p") == 7) & F.col("p")[0].isin(KINDS))
-    found = found.select(F.col("p")[0].alias("edge_type"), number(F.col("p")[1]).alias("src_line"), F.col("p")[2].alias("src_code"), F.col("p")[3].alias("src_label"), number(F.col("p")[4]).alias("tgt_line"), F.col("p")[5].alias("tgt_code"), F.col("p")[6].alias("tgt_label"))
+    found = lines.withColumn("_in", within).filter((F.col("_in") == 1) & mark.isNull()).select(key, "pos", parts.alias("p")).filter((F.size("p") == 7) & F.col("p")[0].isin(KINDS))
+    found = found.select(key, "pos", F.col("p")[0].alias("edge_type"), number(F.col("p")[1]).alias("src_line"), F.col("p")[2].alias("src_code"), F.col("p")[3].alias("src_label"), number(F.col("p")[4]).alias("tgt_line"), F.col("p")[5].alias("tgt_code"), F.col("p")[6].alias("tgt_label"))
     return found.filter(~(system_code(F.col("src_code")) & system_code(F.col("tgt_code"))))
 
 
@@ -42,25 +48,55 @@ def same_code(line: Column, code: Column) -> Column:
     return (F.length(line) > 0) & (F.length(code) > 0) & (a.contains(b) | b.contains(a))
 
 
-def neighbours(edge_table: DataFrame, lines: DataFrame) -> DataFrame:
-    """(line, kind, code): what edges at a line's code lead to; kinds are control, data, ast and call.
-
-    Of one function's graph, so the lines are few; the other ends that are lines themselves are left out.
-    """
+def neighbours(edge_table: DataFrame, lines: DataFrame, key: str = "key") -> DataFrame:
+    """(key, kind, code): user code at either end of the edges that touch a line (key, line) of their function;
+    kinds are control, data, ast and call. Ends that are lines themselves are left out. Functions meet by their key only."""
     kind = F.when(F.col("edge_type") == "CFG", "control").when(F.col("edge_type").isin("REF", "REACHING_DEF"), "data").otherwise(F.lower("edge_type"))
-    ends = edge_table.select(kind.alias("kind"), F.col("src_code").alias("at"), F.col("tgt_code").alias("code")).unionByName(edge_table.select(kind.alias("kind"), F.col("tgt_code").alias("at"), F.col("src_code").alias("code")))
-    found = ends.join(lines.select("line"), same_code(F.col("line"), F.col("at"))).select("line", "kind", "code").distinct()
-    return found.join(lines.select(F.col("line").alias("_own")), same_code(F.col("_own"), F.col("code")), "left_anti")
+    ends = edge_table.select(key, kind.alias("kind"), F.col("src_code").alias("at"), F.col("tgt_code").alias("code")).unionByName(edge_table.select(key, kind.alias("kind"), F.col("tgt_code").alias("at"), F.col("src_code").alias("code")))
+    own = lines.select(key, "line").distinct()
+    codes = ends.select(key, F.col("at").alias("code")).union(ends.select(key, "code")).distinct()
+    touching = codes.join(own, key).filter(same_code(F.col("line"), F.col("code"))).select(key, "code").distinct()
+    found = ends.filter(user_code(F.col("code"))).join(touching.withColumnRenamed("code", "at"), [key, "at"], "left_semi")
+    return found.select(key, "kind", "code").distinct().join(touching, [key, "code"], "left_anti").select(key, "kind", "code")
 
 
-def distinct_edges(edge_table: DataFrame) -> DataFrame:
-    """E9."""
-    return edge_table.dropDuplicates(["src_line", "tgt_line", "src_code", "tgt_code"])
+def distinct_edges(edge_table: DataFrame, key: str = "key") -> DataFrame:
+    """The first of a function's edges with equal lines and codes."""
+    same = [key, "src_line", "src_code", "tgt_line", "tgt_code"]
+    rest = [c for c in edge_table.columns if c not in same]
+    return edge_table.groupBy(*same).agg(F.min_by(F.struct(*rest), "pos").alias("_")).select(*same, "_.*")
 
 
-def control_statements(edge_table: DataFrame) -> DataFrame:
-    """Codes of control-flow edges, and of syntax-tree ends that are control structures; user code only."""
+def control_statements(edge_table: DataFrame, key: str = "key") -> DataFrame:
+    """(key, code): codes of control-flow edges, and of syntax-tree ends that are control structures; user code only."""
     e = edge_table
     cfg, ast = e.filter("edge_type = 'CFG'"), e.filter("edge_type = 'AST'")
-    found = cfg.select(F.col("src_code").alias("code")).union(cfg.select("tgt_code")).union(ast.filter("src_label = 'CONTROL_STRUCTURE'").select("src_code")).union(ast.filter("tgt_label = 'CONTROL_STRUCTURE'").select("tgt_code"))
+    found = cfg.select(key, F.col("src_code").alias("code")).union(cfg.select(key, "tgt_code")).union(ast.filter("src_label = 'CONTROL_STRUCTURE'").select(key, "src_code")).union(ast.filter("tgt_label = 'CONTROL_STRUCTURE'").select(key, "tgt_code"))
     return found.filter(user_code(F.col("code"))).distinct()
+
+
+def graphs_of(functions: DataFrame, tool: Callable[[str], str], key: str = "key") -> DataFrame:
+    """(key, pos, line) of what an outside graph tool says of functions (key, code). The tool takes the code; one that
+    takes files can be wrapped by by_file()."""
+    kind = dict(functions.dtypes)[key]
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(k, i, line) for k, code in zip(batch[key], batch["code"]) for i, line in enumerate(tool(code or "").split("\n"))]
+            yield pd.DataFrame(rows, columns=[key, "pos", "line"])
+
+    return functions.select(key, "code").mapInPandas(run, f"`{key}` {kind}, pos long, line string")
+
+
+def by_file(command: list[str], suffix: str = ".c") -> Callable[[str], str]:
+    """A tool that gets a file's name as its last argument, in a file that lives as long as the call."""
+
+    def run(code: str) -> str:
+        with tempfile.NamedTemporaryFile("w", suffix=suffix, encoding="utf-8") as file:
+            file.write(code)
+            file.flush()
+            return subprocess.run([*command, file.name], capture_output=True, check=True, encoding="utf-8").stdout
+
+    return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinseek.functions.lines import jaccard, matches
 from twinseek.functions.text import first_line
 
 
@@ -20,11 +21,16 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_")).select(*keys, *(F.col(f"_.{c}").alias(c) for c in rest))
 
 
-def hash_join(known: DataFrame, targets: DataFrame, order: str) -> DataFrame:
-    """Targets by hash, as often as the hash is known, each time with the last known record."""
+def hash_counts(known: DataFrame, targets: DataFrame, order: str) -> DataFrame:
+    """Targets whose hash is known, once each, with the last known record and `times`, how often it is known."""
     rest = [c for c in known.columns if c != "hash"]
-    table = known.groupBy("hash").agg(F.count("*").alias("_n"), F.max_by(F.struct(*rest), order).alias("known"))
-    return targets.join(table, "hash").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n", "_i")
+    table = known.groupBy("hash").agg(F.count("*").alias("times"), F.max_by(F.struct(*rest), order).alias("known"))
+    return targets.join(table, "hash")
+
+
+def hash_join(known: DataFrame, targets: DataFrame, order: str) -> DataFrame:
+    """hash_counts() with a row for each time: as many rows as known and target copies multiply to."""
+    return hash_counts(known, targets, order).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "_i")
 
 
 def with_fix(vulnerable: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -44,11 +50,17 @@ def fix_filter(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("s_fix").isNull() & F.col("fix_id").isNull() | (F.col("s_fix") < F.col("s_vuln")))
 
 
+def filter_counts(scored: DataFrame) -> DataFrame:
+    """(total, kept, removed) clones of fix_filter()."""
+    kept = F.col("s_fix").isNull() & F.col("fix_id").isNull() | F.coalesce(F.col("s_fix") < F.col("s_vuln"), F.lit(False))
+    return scored.agg(F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"))
+
+
 def enrich(results: DataFrame, urls: DataFrame, paths: DataFrame) -> DataFrame:
     """Results (vuln_text, clone_text, ...) with the last commit_url of the flaw, or null, and the last path of the
     clone, without which they go. urls: (vuln_text, commit_url, ord); paths: (clone_text, path, ord)."""
-    url = urls.groupBy("vuln_text").agg(F.max_by("commit_url", "ord").alias("commit_url"))
-    path = paths.groupBy("clone_text").agg(F.max_by("path", "ord").alias("path")).filter("path <> ''")
+    url = urls.groupBy("vuln_text").agg(F.max_by(F.struct("commit_url"), "ord").alias("_")).select("vuln_text", "_.commit_url")
+    path = paths.groupBy("clone_text").agg(F.max_by(F.struct("path"), "ord").alias("_")).select("clone_text", "_.path").filter("path <> ''")
     return results.join(path, "clone_text").join(url, "vuln_text", "left")
 
 
@@ -63,25 +75,62 @@ def unprocessed(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
+def roles_of(signatures: DataFrame) -> DataFrame:
+    """(sig_id, line, in_sv, in_sp) of the lines of signatures."""
+    role = lambda name, bit: signatures.select("sig_id", F.explode(name).alias("line"), F.lit(bit).alias("bit"))
+    rows = role("sv", 1).unionByName(role("sp", 2)).distinct().groupBy("sig_id", "line").agg(F.sum("bit").alias("bits"))
+    return rows.select("sig_id", "line", (F.col("bits").bitwiseAND(1) > 0).alias("in_sv"), (F.col("bits").bitwiseAND(2) > 0).alias("in_sp"))
+
+
+def probes(signatures: DataFrame, counts: DataFrame, theta: float) -> DataFrame:
+    """(sig_id, line): lines of which a target that matches has one: the rarest line of the flaw, else the rarest lines of the
+    reference, of which similar sets share one of the first n - ceil(theta n) + 1. counts: (line, c) over targets."""
+    flaw = signatures.filter(F.size("sv") > 0).select("sig_id", F.lit(1).alias("m"), F.explode("sv").alias("line"))
+    n = F.size("ref")
+    other = signatures.filter((F.size("sv") == 0) & (n > 0)).select("sig_id", (n - F.ceil(F.lit(max(theta, 0.0)) * n) + 1).cast("int").alias("m"), F.explode("ref").alias("line"))
+    ranked = flaw.unionByName(other).join(counts, "line", "left").withColumn("r", F.row_number().over(Window.partitionBy("sig_id").orderBy(F.coalesce("c", F.lit(0)), "line")))
+    return ranked.filter(F.col("r") <= F.col("m")).filter("c is not null").select("sig_id", "line")
+
+
 def signature_match(signatures: DataFrame, targets: DataFrame, theta: float = 0.5) -> DataFrame:
-    """(sig_id, target_id, score) by an inverted index of lines instead of comparing all pairs.
+    """(sig_id, target_id, score) by an inverted index of rare lines instead of comparing all pairs.
 
-    signatures: (sig_id, sv, sp, ref), arrays of lines, sp without lines of sv; targets: (target_id, lines), sets. A positive
-    theta needs a line in common with the reference, so the join on its lines finds every match.
+    signatures: (sig_id, sv, sp, ref), arrays of lines, sp without lines of sv; targets: (target_id, lines), sets. Only rare
+    lines are joined, so a line that all have joins nothing; what they find is checked by the whole sets. With a theta of 0 or
+    less a signature without lines of the flaw needs no line in common, and is held against all targets in blocks.
     """
+    lines = targets.select("target_id", F.explode("lines").alias("line"))
+    found = probes(signatures, lines.groupBy("line").agg(F.count("*").alias("c")), theta).join(lines, "line").select("sig_id", "target_id").distinct()
     if theta <= 0:
-        raise ValueError("theta must be above 0: without it pairs need no line in common")
-    role = lambda name, bit: signatures.select("sig_id", F.explode(name).alias("line"), F.lit(bit).alias("bit"))
-    roles = role("ref", 1).unionByName(role("sv", 2)).unionByName(role("sp", 4)).distinct().groupBy("sig_id", "line").agg(F.sum("bit").alias("bits"))
+        packs = signatures.filter(F.size("sv") == 0).groupBy(F.pmod(F.xxhash64("sig_id"), F.lit(64)).alias("block")).agg(F.collect_list("sig_id").alias("ids"))
+        every = targets.select("target_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("block")).join(packs, "block")
+        found = found.union(every.select(F.explode("ids").alias("sig_id"), "target_id")).distinct()
+    both = found.join(signatures.select("sig_id", "sv", "sp", "ref"), "sig_id").join(targets.select("target_id", "lines"), "target_id")
+    score = F.when(F.size("ref") == 0, 0.0).otherwise(jaccard(F.col("ref"), F.col("lines")))
+    both = both.withColumn("score", score)
+    return both.filter(matches(F.col("sv"), F.col("sp"), F.col("lines"), F.col("score"), theta)).select("sig_id", "target_id", "score")
+
+
+def condition_counts(signatures: DataFrame, targets: DataFrame, theta: float = 0.5) -> DataFrame:
+    """(cond1, cond2, cond3, all_conditions): how many pairs of a signature and a target pass each condition. The first is
+    not asked of signatures without lines of the flaw, the second not of those without lines of the patch. Pairs are counted
+    from the index of lines; only for the third, with a theta above 0, pairs with a line in common are looked at.
+
+    signatures: (sig_id, sv, sp, fo, fd); targets: (target_id, lines).
+    """
+    n = targets.agg(F.count("*").alias("n"))
     lines = targets.select("target_id", F.explode("lines").alias("line"))
-    count = lambda bit, name: F.count_if(F.col("bits").bitwiseAND(bit) > 0).alias(name)
-    found = lines.join(roles, "line").groupBy("sig_id", "target_id").agg(count(1, "in_ref"), count(2, "in_sv"), count(4, "in_sp")).filter("in_ref > 0")
-    sizes = signatures.select("sig_id", F.size("sv").alias("n_sv"), F.size("sp").alias("n_sp"), F.size("ref").alias("n_ref"))
-    found = found.join(sizes, "sig_id").join(targets.select("target_id", F.size("lines").alias("n")), "target_id")
-    score = F.col("in_ref") / (F.col("n") + F.col("n_ref") - F.col("in_ref"))
-    return found.withColumn("score", score).filter(
-        (F.col("score") >= theta) & ((F.col("n_sp") == 0) | (F.col("in_sp") == 0)) & ((F.col("n_sp") == 0) & (F.col("in_sv") == F.col("n_sv")) | (F.col("n_sp") > 0) & ((F.col("n_sv") == 0) | (F.col("in_sv") == F.col("n_sv"))))
-    ).select("sig_id", "target_id", "score")
+    hits = lines.join(roles_of(signatures), "line").groupBy("sig_id", "target_id").agg(F.count_if("in_sv").alias("v"), F.count_if("in_sp").alias("p"))
+    hits = hits.join(signatures.select("sig_id", F.size("sv").alias("nv"), F.size("sp").alias("np")), "sig_id")
+    first = hits.agg(F.count_if((F.col("nv") > 0) & (F.col("v") == F.col("nv"))).alias("cond1"), F.count_if(F.col("p") > 0).alias("patched"))
+    asked = signatures.agg(F.count_if(F.size("sp") > 0).alias("asked"))
+    none = F.array().cast("array<string>")
+    alike = [signature_match(signatures.select("sig_id", none.alias("sv"), none.alias("sp"), F.col(ref).alias("ref")), targets, theta) for ref in ("fo", "fd")]
+    third = alike[0].union(alike[1]).select("sig_id", "target_id").distinct().agg(F.count("*").alias("cond3"))
+    all_ = [signature_match(signatures.select("sig_id", "sv", "sp", F.col(ref).alias("ref")), targets, theta) for ref in ("fo", "fd")]
+    passed = all_[0].union(all_[1]).select("sig_id", "target_id").distinct().agg(F.count("*").alias("all_conditions"))
+    one = n.crossJoin(first).crossJoin(asked).crossJoin(third).crossJoin(passed)  # one row each
+    return one.select("cond1", (F.col("asked") * F.col("n") - F.col("patched")).alias("cond2"), "cond3", "all_conditions")
 
 
 def line_classes(rows: DataFrame) -> DataFrame:

@@ -1,48 +1,116 @@
-"""Whole jobs over files: pairs of flaw and fix, their line signatures, and functions that match them."""
+"""Whole jobs over files: pairs of flaw and fix, their line signatures, and functions that match them.
+
+Lines are compared in abstracted form, so that a copy with other names is found.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.functions import lines
-from twinseek.operators import match
+from twinseek.functions import abstraction, lines
+from twinseek.functions.text import normalize, strip_comments
+from twinseek.operators import graph, match
 from twinseek.sources import readers
 
+Abstract = Callable[[Column], Column]
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of flaws and fixes with their order."""
+    return readers.numbered_lines(spark, path, readers.PAIRS).withColumn("ord", F.struct("file", "line_number"))
+
 
 def pairs(spark: SparkSession, path: str, introducing: str | None = None) -> DataFrame:
-    """(sig_id, commit_id, fd, fp, fo) of JSON lines: each flaw with the first fix of its commit and the last
-    introducing function, or itself. Flaws without a fix go."""
-    order = F.struct("file", "line_number")
-    rows = readers.numbered_lines(spark, path, readers.PAIRS)
-    fixes = rows.filter("target = 0").groupBy("commit_id").agg(F.min_by("func", order).alias("fp"))
-    flaws = rows.filter("target = 1").select(F.concat_ws("#", "commit_id", "line_number").alias("sig_id"), "commit_id", F.col("func").alias("fd"))
-    both = flaws.join(fixes, "commit_id")
+    """(sig_id, commit_id, project, cve, fd, fp, fo, introduced) of JSON lines: each flaw with the first fix of its
+    commit and the last introducing function, or itself. Flaws without a fix, and pairs without code, go."""
+    rows = records(spark, path).filter("commit_id <> ''")
+    fixes = rows.filter("target = 0").groupBy("commit_id").agg(F.min_by("func", "ord").alias("fp"))
+    flaws = rows.filter("target = 1").select(F.concat_ws("#", "commit_id", "line_number").alias("sig_id"), "commit_id", "project", "cve", F.col("func").alias("fd"))
+    both = flaws.join(fixes, "commit_id").filter("fd <> '' and fp <> ''")
     if introducing is None:
-        return both.withColumn("fo", F.col("fd"))
-    old = readers.numbered_lines(spark, introducing, "commit_id string, introducing_func_code string")
-    return match.with_oldest(both, old.withColumn("ord", order))
+        return both.withColumn("fo", F.col("fd")).withColumn("introduced", F.lit(False))
+    old = readers.numbered_lines(spark, introducing, "commit_id string, introducing_func_code string").withColumn("ord", F.struct("file", "line_number"))
+    has = old.groupBy("commit_id").agg(F.max_by("introducing_func_code", "ord").alias("_code")).select("commit_id", (F.trim("_code") != "").alias("introduced"))
+    return match.with_oldest(both, old).join(has, "commit_id", "left").withColumn("introduced", F.coalesce("introduced", F.lit(False)))
+
+
+def pairing(rows: DataFrame) -> DataFrame:
+    """A10: (records, without_commit, commits, without_flaw, without_fix, pairs) of records (commit_id, target)."""
+    known = rows.filter("commit_id <> ''").groupBy("commit_id").agg(F.count_if(F.col("target") == 1).alias("v"), F.count_if(F.col("target") == 0).alias("f"))
+    both = known.agg(
+        F.count("*").alias("commits"), F.count_if(F.col("v") == 0).alias("without_flaw"), F.count_if((F.col("v") > 0) & (F.col("f") == 0)).alias("without_fix"),
+        F.coalesce(F.sum(F.when(F.col("f") > 0, F.col("v"))), F.lit(0)).alias("pairs"),
+    )
+    first = rows.agg(F.count("*").alias("records"), F.count_if(F.coalesce(F.col("commit_id") == "", F.lit(True))).alias("without_commit"))
+    return first.crossJoin(both)  # one row each
+
 
+def codes(given: Column) -> Column:
+    """Codes of a graph as lines: without comments, normalised, long enough."""
+    return F.filter(F.transform(given, lambda x: normalize(strip_comments(x))), lambda x: F.length(x) >= lines.LEAST)
 
-def signatures(functions: DataFrame) -> DataFrame:
-    """(sig_id, sv, sp, fo, fd, counts, processing_status) of functions (sig_id, fo, fd, fp).
 
-    Arrays `dependencies` and `control`, as a code graph gives them, add lines where the columns are there. A flaw without
-    lines of its own and without lines of its fix is kept as failed.
+def essential(functions: DataFrame) -> DataFrame:
+    """Functions with the line sets fo_set, fd_set, fp_set and the essential lines ev, ep."""
+    sets = functions.select("*", *(lines.line_set(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_set") for c in ("fo", "fd", "fp")))
+    fo, fd, fp = (F.col(f"{c}_set") for c in ("fo", "fd", "fp"))
+    return sets.select("*", lines.essential_vulnerable(fo, fd, fp).alias("ev"), lines.essential_patch(fo, fd, fp).alias("ep"))
+
+
+def with_graphs(functions: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Functions (sig_id, fo, fd, fp) with `dependencies` of the essential lines in fd, `fix_dependencies` in fp, and
+    the `control` statements of fd. graphs: (sig_id, side, pos, line), the tool's lines of each function, side fd or fp."""
+    sets = essential(functions).select("sig_id", F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("code"), F.col(e).alias("own")) for side, e in (("fd", "ev"), ("fp", "ep"))))).alias("x")).select("sig_id", "x.*")
+    key = F.struct("sig_id", "side").alias("key")
+    asked = sets.select(key, "code", F.explode("own").alias("norm")).select("key", lines.original_line(F.coalesce("code", F.lit("")), F.col("norm")).alias("line")).filter("line is not null")
+    table = graph.edges(graphs.select(key, "pos", "line"))
+    near = graph.neighbours(table, asked).filter("kind in ('control', 'data')").groupBy("key.sig_id").agg(
+        *(F.collect_set(F.when(F.col("key.side") == side, F.col("code"))).alias(name) for side, name in (("fd", "dependencies"), ("fp", "fix_dependencies")))
+    )
+    control = graph.control_statements(table.filter("key.side = 'fd'")).groupBy("key.sig_id").agg(F.collect_set("code").alias("control"))
+    return functions.join(near, "sig_id", "left").join(control, "sig_id", "left")
+
+
+def signatures(functions: DataFrame, abstract: Abstract = abstraction.abstracted_by_patterns) -> DataFrame:
+    """Signatures of functions (sig_id, fo, fd, fp).
+
+    Parts ev, dv, fv, ep and dp are lines {norm, abst}. sv and sp are the abstracted lines that functions are held against, sp
+    of the essential lines only and without lines of sv; fo and fd the abstracted lines of the whole functions. Arrays
+    `dependencies`, `fix_dependencies` and `control`, as with_graphs() makes them, add lines where the columns are there. A flaw
+    without lines of its own and without lines of its fix is kept as failed. Other columns stay.
     """
     none = F.array().cast("array<string>")
-    given = lambda name: F.coalesce(F.col(name), none) if name in functions.columns else none
-    sets = functions.select("sig_id", *(lines.line_set(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("fo", "fd", "fp")), given("dependencies").alias("_deps"), given("control").alias("_control"))
-    fo, fd, fp = F.col("fo"), F.col("fd"), F.col("fp")
-    around = lines.context(fo, fd)
+    given = [c for c in ("dependencies", "fix_dependencies", "control") if c in functions.columns]
+    keep = [c for c in functions.columns if c not in ("fo", "fd", "fp", *given)]
+    body = lambda c: F.coalesce(F.col(c), F.lit(""))
+    texts = functions.select(
+        *keep, *(body(c).alias(c) for c in ("fo", "fd", "fp")), *(abstract(body(c)).alias(f"{c}_abst") for c in ("fo", "fd", "fp")),
+        *(codes(F.coalesce(F.col(c), none) if c in given else none).alias(f"_{c}") for c in ("dependencies", "fix_dependencies", "control")),
+    )
+    sets = essential(texts)
+    around = lines.context(F.col("fo_set"), F.col("fd_set"))
+    has = lambda c: F.size(c) > 0
     parts = sets.select(
-        "sig_id", "fo", "fd", lines.essential_vulnerable(fo, fd, fp).alias("ev"), lines.essential_patch(fo, fd, fp).alias("ep"),
-        lines.dependent(around, F.col("_deps")).alias("dv"), lines.control_flow(around, F.col("_control")).alias("fv"),
+        *keep, "ev", "ep", F.when(has("ev"), lines.dependent(around, F.col("_dependencies"))).otherwise(none).alias("dv"),
+        F.when(has("ep"), lines.dependent(F.col("fp_set"), F.col("_fix_dependencies"))).otherwise(none).alias("dp"), lines.control_flow(around, F.col("_control")).alias("fv"),
+        *(abstraction.line_map(F.col(c), F.col(f"{c}_abst")).alias(f"{c}_map") for c in ("fd", "fp")),
+        *(F.array_distinct(lines.line_list(F.col(f"{c}_abst"))).alias(c) for c in ("fo", "fd")),
     )
-    sv, sp = lines.signature(F.col("ev"), F.col("dv"), F.col("fv"), F.col("ep"))
-    counts = (F.size(c).alias(f"n_{c}") for c in ("ev", "dv", "fv", "ep"))
+    mapped = parts.select(*keep, "fo", "fd", *(abstraction.with_abstraction(F.col(c), F.col("fd_map" if c in ("ev", "dv", "fv") else "fp_map")).alias(c) for c in ("ev", "dv", "fv", "ep", "dp")))
+    abst = {c: F.array_distinct(F.transform(c, lambda x: x["abst"])) for c in ("ev", "dv", "fv", "ep")}
+    sv, sp = lines.signature(abst["ev"], abst["dv"], abst["fv"], abst["ep"])
+    counts = (F.size(c).alias(f"n_{c}") for c in ("ev", "dv", "fv", "ep", "dp"))
     status = F.when((F.size("ev") == 0) & (F.size("ep") == 0), "failed").otherwise("success")
-    return parts.select("sig_id", sv.alias("sv"), sp.alias("sp"), "fo", "fd", *counts, status.alias("processing_status"))
+    return mapped.select(*keep, "ev", "dv", "fv", "ep", "dp", sv.alias("sv"), sp.alias("sp"), "fo", "fd", *counts, status.alias("processing_status"))
+
+
+def targets_of(functions: DataFrame, abstract: Abstract = abstraction.abstracted_by_patterns) -> DataFrame:
+    """(target_id, lines), abstracted lines of functions (target_id, function); those without a line go."""
+    texts = functions.select("target_id", abstract(F.coalesce("function", F.lit(""))).alias("abst"))
+    return texts.select("target_id", F.array_distinct(lines.line_list(F.col("abst"))).alias("lines")).filter(F.size("lines") > 0)
 
 
 def detect(signed: DataFrame, targets: DataFrame, theta: float = 0.5) -> DataFrame:
@@ -52,13 +120,14 @@ def detect(signed: DataFrame, targets: DataFrame, theta: float = 0.5) -> DataFra
     return by[0].unionByName(by[1]).groupBy("sig_id", "target_id").agg(F.max("score").alias("score"))
 
 
-def targets_of(functions: DataFrame) -> DataFrame:
-    """(target_id, lines) of functions (target_id, function); those without a line go."""
-    return functions.select("target_id", F.array_distinct(lines.line_list(F.col("function"))).alias("lines")).filter(F.size("lines") > 0)
+def conditions(signed: DataFrame, targets: DataFrame, theta: float = 0.5) -> DataFrame:
+    """How many pairs of a signature and a target pass each condition."""
+    return match.condition_counts(signed.filter("processing_status = 'success'"), targets, theta)
 
 
 def summary(signed: DataFrame) -> DataFrame:
-    """Signatures made and failed, and sums of their lines."""
+    """Signatures made and failed, sums of their lines, and how many of them have an introducing function."""
     made = F.col("processing_status") == "success"
-    sums = (F.coalesce(F.sum(F.when(made, F.col(c))), F.lit(0)).alias(c) for c in ("n_ev", "n_dv", "n_fv", "n_ep"))
-    return signed.agg(F.count_if(made).alias("made"), F.count_if(~made).alias("failed"), *sums)
+    sums = (F.coalesce(F.sum(F.when(made, F.col(c))), F.lit(0)).alias(c) for c in ("n_ev", "n_dv", "n_fv", "n_ep", "n_dp"))
+    old = F.col("introduced") if "introduced" in signed.columns else F.lit(False)
+    return signed.agg(F.count_if(made).alias("made"), F.count_if(~made).alias("failed"), *sums, F.count_if(made & old).alias("introducing"), F.count_if(made & ~old).alias("current"))
