@@ -152,7 +152,9 @@ def test_retrieval_finds_clones_and_spares_fixes(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["repo"], r["path"], r["commit_url"], round(r["similarity"], 6), r["fix_match"]) for r in got] == [("r", "b.c", "http://u/1", 1.0, "exact")]
     vectors_known = spark.read.parquet(str(tmp_path / "work" / "vectors")).count()
-    cli.main([*ask, "--disable_filtering"])
+    cli.main([*ask, "--disable_filtering"])  # done already
+    assert [r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["b.c"]
+    cli.main([*ask, "--disable_filtering", "--again"])
     assert sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["b.c", "c.c"]
     assert spark.read.parquet(str(tmp_path / "work" / "vectors")).count() == vectors_known
 
@@ -172,3 +174,127 @@ def test_exact_copies_evaluation_and_verdicts(spark, tmp_path):
     sources = spark.createDataFrame([("v", "f")], "body string, fix_func string")
     got = retrieval.judged(results, sources, lambda _: '{"is_vulnerable": true, "confidence_level": 4, "justification": "j"}', limit=1).collect()
     assert [(r["clone_text"], r["is_vulnerable"], r["confidence_level"], r["error"]) for r in got] == [("c1", True, 4, None)]
+
+
+RENAMED = """int copy(char *text, int size) {
+  int place = room_for(size, text_of(text));
+  strcpy(place_of(place), text_of(text));
+  return finish_with(place, size);
+}"""
+
+
+def test_a_copy_with_other_names_is_found(spark):
+    from twinseek.plans import detection
+
+    fixed = RENAMED.replace("strcpy(place_of(place), ", "strlcpy(limit_of(size), place_of(place), ")
+    other = RENAMED.replace("size", "amount").replace("place =", "spot =").replace("(place", "(spot")
+    pairs = spark.createDataFrame([("s", RENAMED, RENAMED, fixed)], "sig_id string, fo string, fd string, fp string")
+    signed = detection.signatures(pairs)
+    targets = detection.targets_of(spark.createDataFrame([(1, RENAMED), (2, other), (3, fixed), (4, fixed.replace("size", "amount")), (5, "int x;")], "target_id int, function string"))
+    assert {(r["target_id"], r["score"]) for r in detection.detect(signed, targets).collect()} == {(1, 1.0), (2, 1.0)}
+    assert tuple(detection.conditions(signed, targets).first()) == (2, 2, 4, 2)
+    assert {r["target_id"] for r in detection.detect(signed, targets, 0.0).collect()} == {1, 2}
+
+
+def test_graphs_give_dependent_lines(spark):
+    from twinseek.plans import detection
+
+    flaw = "int f(int size) {\n  int total = size_of(buffer);\n  if (total > limit_of(buffer)) {\n  copy_all(buffer, total);\n}"
+    fixed = flaw.replace("copy_all(buffer, total)", "copy_some(buffer, total)")
+    edges = ["noise", "EDGES_START", "REACHING_DEF:1:int total = size_of(buffer);:LOCAL:3:copy_all(buffer, total):CALL", "CFG:2:if (total > limit_of(buffer)) {:CONTROL_STRUCTURE:3:__x:CALL", "AST:2:<global>:X:3:RET:Y", "EDGES_END", "CFG:9:unseen_code_here():A:9:copy_all(buffer, total):B"]
+    graphs = spark.createDataFrame([("s", "fd", i, line) for i, line in enumerate(edges)], "sig_id string, side string, pos long, line string")
+    pairs = spark.createDataFrame([("s", flaw, flaw, fixed), ("t", flaw, flaw, fixed)], "sig_id string, fo string, fd string, fp string")
+    got = {r["sig_id"]: r for r in detection.signatures(detection.with_graphs(pairs, graphs)).collect()}
+    norm = lambda r, c: [x["norm"] for x in r[c]]
+    assert norm(got["s"], "ev") == norm(got["t"], "ev") == ["copy_all(buffer,total);"]
+    assert norm(got["s"], "dv") == ["inttotal=size_of(buffer);"] and norm(got["s"], "fv") == ["if(total>limit_of(buffer)){"]
+    assert norm(got["t"], "dv") == norm(got["t"], "fv") == [] and (got["s"]["n_dp"], got["s"]["processing_status"]) == (0, "success")
+
+
+def test_signature_match_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"line {i}" for i in range(12)]
+    some = lambda n: rng.sample(names, rng.randrange(n))
+    signs = []
+    for i in range(60):
+        sv = some(4)
+        signs.append((i, sv, [x for x in some(4) if x not in sv], some(9)))
+    targets = [(i, some(10)) for i in range(80)]
+    signed = spark.createDataFrame(signs, "sig_id int, sv array<string>, sp array<string>, ref array<string>")
+    there = spark.createDataFrame(targets, "target_id int, lines array<string>")
+    for theta in (0.3, 0.5, 1.0, 0.0):
+        want = set()
+        for s, sv, sp, ref in signs:
+            for t, own in targets:
+                score = len(set(ref) & set(own)) / len(set(ref) | set(own)) if ref else 0.0
+                first, second = set(sv) <= set(own), not set(sp) & set(own)
+                if score >= theta and (first if not sp else second if not sv else first and second):
+                    want.add((s, t, round(score, 6)))
+        assert {(r["sig_id"], r["target_id"], round(r["score"], 6)) for r in match.signature_match(signed, there, theta).collect()} == want
+
+
+def test_vectors_of_any_length_and_content(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [None, 1.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [2.0, 0.0]), (9, [float("inf"), 1.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    found = lambda: sorted((r["query_id"], r["id"], round(r["similarity"], 4)) for r in vectors.similar(table, table, threshold=0.5).collect())
+    want = [(1, 2, 0.9939), (1, 8, 1.0), (2, 1, 0.9939), (2, 8, 0.9939), (8, 1, 1.0), (8, 2, 0.9939)]
+    assert found() == want
+    monkeypatch.setattr(vectors, "SENT", 0)
+    assert found() == want
+
+
+def test_repositories(spark, tmp_path):
+    from twinseek.sources import repositories
+
+    waits = []
+    answers = iter([(500, {}, None), (502, {}, None), (403, {}, None), (200, {}, {"a": 1})])
+    assert repositories.fetch(lambda _: next(answers), "u", sleep=waits.append) == {"a": 1} and waits[:2] == [2, 4] and 60 <= waits[2] <= 61
+    assert repositories.fetch(lambda _: (500, {}, None), "u", sleep=lambda _: None) is None and repositories.fetch(lambda _: (404, {}, None), "u") is None
+
+    def get(url):
+        if "/busy/" in url:
+            return 200, {}, [{"merged_at": "x"}, {"merged_at": None}]
+        return 200, {}, [] if "pulls" in url else [{}]
+
+    def clone(url, path):
+        if "bad" in url:
+            raise OSError("no")
+
+    repos = [{"name": n, "url": f"http://{n}", "stars": s, "owner": "o"} for n, s in (("busy", 9), ("idle", 8), ("bad", 7))]
+    get_busy = lambda url: get(url.replace("/bad/", "/busy/"))
+    told = repositories.acquire(spark, "c", lambda language, below: repos if below is None else [], get_busy, "2020-01-01", str(tmp_path), clone=clone).collect()
+    assert sorted((r["name"], r["status"]) for r in told) == [("bad", "failed: no"), ("busy", "cloned")]
+    assert spark.read.json(str(tmp_path / "c_metadata")).count() == 3 and spark.read.json(str(tmp_path / "c_active_metadata")).count() == 2
+
+
+def test_code_of_clones(spark):
+    rows = [("a", "x"), ("b", "y"), ("none", "z"), (None, "w"), ("none", ""), (None, "")]
+    results = spark.createDataFrame(rows, "path string, clone_text string")
+    files = spark.createDataFrame([("a", b"ab\xffc"), ("b", b" \n")], "path string, content binary")
+    got = sorted(r["code"] for r in readers.with_clone_code(results, files).collect())
+    assert got == sorted(["abc", "y", "z", "w", "// File not found: none", "// No clone code available"])
+
+
+def test_outputs_are_kept_by_repository(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "repo string, x int")
+    out = str(tmp_path / "out")
+    assert sinks.written(spark, out) is None
+    sinks.write_new(rows(("a", 1)), out)
+    sinks.write_new(rows(("a", 2), ("b", 3)), out)
+    assert sorted((r["repo"], r["x"]) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 3)]
+
+
+def validate_client(prompt):
+    if "boom" in prompt:
+        raise ValueError("boom")
+    return '{"is_vulnerable": true, "confidence_level": 5, "justification": "j"}'
+
+
+def test_validate_job(spark, tmp_path):
+    spark.createDataFrame([("r", "v", "c1"), ("r", "v", "boom")], "repo string, vuln_text string, clone_text string").write.parquet(str(tmp_path / "results"))
+    (tmp_path / "sources.jsonl").write_text(json.dumps({"func": "v", "fix_func": "f"}))
+    cli.main(["validate", "--results", str(tmp_path / "results"), "--sources", str(tmp_path / "sources.jsonl"), "--output", str(tmp_path / "out"), "--client", "tests.test_functions:validate_client", "--delay", "0", "--responses-dir", str(tmp_path / "told")])
+    assert sorted((r["clone_text"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("boom", "boom"), ("c1", None)]
+    assert [spark.read.json(str(tmp_path / "told" / k)).count() for k in ("raw", "parsed", "errors")] == [1, 1, 1]

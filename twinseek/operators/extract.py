@@ -24,7 +24,7 @@ def decode(content: bytes | None) -> str | None:
 
 
 def functions_of(text: str) -> list[str]:
-    """Every body in braces that follows a name and a parameter list, with that head; nested ones too."""
+    """Every body in braces that follows a name and a parameter list, with that head; nested ones too, after the one around."""
     out, open_, start, depth, head = [], [], 0, 0, None
     last_close = None
     for m in TOKEN.finditer(text):
@@ -45,9 +45,9 @@ def functions_of(text: str) -> list[str]:
             elif t == "}" and open_:
                 begun = open_.pop()
                 if begun is not None:
-                    out.append(text[begun : m.end()].strip())
+                    out.append((begun, -m.end(), text[begun : m.end()].strip()))
             start, head, last_close = m.end(), None, None
-    return out
+    return [body for _, _, body in sorted(out)]
 
 
 def functions(files: DataFrame, find: Callable[[str], list[str]] = functions_of) -> DataFrame:

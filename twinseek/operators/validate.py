@@ -35,6 +35,14 @@ def ask(clones: DataFrame, client: Callable[[str], str], delay: float = 0.0) ->
     return rows.mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", raw_response string, error string")
 
 
+def write_artefacts(verdicts: DataFrame, path: str) -> None:
+    """Raw replies, parsed verdicts and errors, each with the flaw and the clone, as JSON lines in folders of their own."""
+    pair = ["vuln", "clone"]
+    verdicts.filter("raw_response is not null").select(*pair, "raw_response").write.mode("overwrite").json(f"{path}/raw")
+    verdicts.filter("error is null").select(*pair, "is_vulnerable", "confidence_level", "justification").write.mode("overwrite").json(f"{path}/parsed")
+    verdicts.filter("error is not null").select(*pair, "error", "raw_response").write.mode("overwrite").json(f"{path}/errors")
+
+
 def parse(replies: DataFrame) -> DataFrame:
     """cleaned_json, the verdict's fields, and error where there is no object."""
     rows = replies.withColumn("cleaned_json", clean_json(F.col("raw_response"))).withColumn("_v", F.from_json("cleaned_json", VERDICT))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from twinseek.functions.text import let
 
 BLOCK, PACK = 4096, 512
+#: Queries, and numbers of their vectors, that are sent to all tasks, at most: 64 MB.
+SENT, SENT_VALUES = 50_000, 8_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,50 +36,86 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def _packs(rows: DataFrame, size: int, salt: int) -> tuple[DataFrame, int]:
-    parts = max(1, -(-rows.count() // size))
-    packed = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)))
-    return packed.groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("pack")), parts
-
-
-def _matrix(pack) -> tuple[np.ndarray, np.ndarray]:
-    rows = pack.values
-    ids, v = rows.field("id").to_numpy(), rows.field("v")
-    return ids, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+def _matrices(ids: np.ndarray, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vectors the ids and the matrix of them; zero, null and non-finite ones have no similarity and are left out."""
+    at, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes, out = np.diff(at), {}
+    for d in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == d)
+        m = values[at[rows][:, None] + np.arange(d)]
+        with np.errstate(all="ignore"):
+            size = np.sqrt((m * m).sum(1))
+            on = np.isfinite(size) & (size > 0)
+        out[int(d)] = ids[rows[on]], m[on] / size[on][:, None]
+    return out
+
+
+def _hits(asked: dict, there: dict, threshold: float | None, k: int | None) -> Iterator[pa.RecordBatch]:
+    """What of two tables of matrices is alike; of each query the k best at most."""
+    for d in asked.keys() & there.keys():
+        (qid, q), (cid, c) = asked[d], there[d]
+        for lo in range(0, len(qid), PACK):
+            s = q[lo : lo + PACK] @ c.T
+            ok = qid[lo : lo + PACK][:, None] != cid[None]
+            if threshold is not None:
+                ok &= s >= threshold
+            for r in np.flatnonzero(ok.any(1)):
+                on = np.flatnonzero(ok[r])
+                if k is not None and len(on) > k:
+                    on = on[np.lexsort((cid[on], -s[r, on]))[:k]]
+                yield pa.record_batch({"query_id": pa.array(np.full(len(on), qid[lo + r])), "id": pa.array(cid[on]), "similarity": pa.array(s[r, on])})
 
 
 def similar(queries: DataFrame, corpus: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
     """(query_id, id, similarity) by cosine, itself excluded: those of at least the threshold, the k best, or both.
 
-    Both tables have (id, v); vectors are of one length. Zero vectors have no similarity. Ties go to the smaller id.
+    Both tables have (id, v). Vectors of other lengths than a query's, and null, empty, zero or non-finite ones, have no
+    similarity. Ties go to the smaller id. SENT queries at most are sent to all tasks, which read the corpus where it is; more
+    meet blocks of the corpus in packs.
     """
-    asked, _ = _packs(queries, PACK, 1)
-    there, blocks = _packs(corpus, BLOCK, 2)
-    pairs = asked.select(F.col("pack").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(there.select(F.col("part").alias("block"), F.col("pack").alias("c")), "block").select("q", "c")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (qid, q), (cid, c) = _matrix(batch.column("q")[i]), _matrix(batch.column("c")[i])
-                with np.errstate(all="ignore"):
-                    s = (q @ c.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None])
-                ok = np.isfinite(s) & (qid[:, None] != cid[None])
-                if threshold is not None:
-                    ok &= s >= threshold
-                for r in range(len(qid)):
-                    on = np.flatnonzero(ok[r])
-                    if k is not None and len(on) > k:
-                        on = on[np.lexsort((cid[on], -s[r, on]))[:k]]
-                    if len(on):
-                        yield pa.record_batch({"query_id": pa.array(np.full(len(on), qid[r])), "id": pa.array(cid[on]), "similarity": pa.array(s[r, on])})
-
-    found = pairs.mapInArrow(run, "query_id long, id long, similarity double")
+    clean = lambda t: t.filter(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("v"))
+    queries, corpus, schema = clean(queries), clean(corpus), "query_id long, id long, similarity double"
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
+    if size["n"] <= SENT and size["values"] <= SENT_VALUES:
+        rows = queries.toArrow()
+        told = queries.sparkSession.sparkContext.broadcast(_matrices(rows.column("id").to_numpy(), _one(rows.column("v"))))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(lo, BLOCK)
+                    yield from _hits(told.value, _matrices(part.column("id").to_numpy(), _one(part.column("v"))), threshold, k)
+
+        found = corpus.mapInArrow(near, schema)
+    else:
+        asked, _ = _packs(queries, PACK, 1)
+        there, blocks = _packs(corpus, BLOCK, 2)
+        pairs = asked.select(F.col("pack").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(there.select(F.col("part").alias("block"), F.col("pack").alias("c")), "block").select("q", "c")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = lambda pack: _matrices(pack.values.field("id").to_numpy(), _one(pack.values.field("v")))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from _hits(of(batch.column("q")[i]), of(batch.column("c")[i]), threshold, k)
+
+        found = pairs.mapInArrow(run, schema)
     if k is None:
         return found
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _one(lists) -> pa.ListArray:
+    """A list array that begins at its first value, whatever it was cut from."""
+    return pa.concat_arrays(lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]) if not isinstance(lists, pa.ChunkedArray) or lists.num_chunks else pa.array([], lists.type)
+
+
+def _packs(rows: DataFrame, size: int, salt: int) -> tuple[DataFrame, int]:
+    parts = max(1, -(-rows.count() // size))
+    packed = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)))
+    return packed.groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("pack")), parts
+
+
 def nearer_to_first(pairs: DataFrame, first: Column, second: Column) -> DataFrame:
     """pairs that are nearer to the first vector than to the second; no similarity, no pair."""
     return pairs.filter(second < first)

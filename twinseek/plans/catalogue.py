@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions import hashing, lines, text
 from twinseek.operators import evaluate, match, vectors
+from twinseek.plans import code_queries
 
 LINES = "list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(translate(trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), chr(13) || chr(9) || ' ', ''))), lambda x: length(x) >= 15))"
 WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -202,7 +203,7 @@ NAMES = (
     signature_match, cosine_topk, cosine_threshold, nearer_to_vuln_than_fix, pair_first_fix, lookup_last_wins, fallback_first_line, confusion_matrix_hash,
     verdict_summary, activity_filter, group_counts_desc, token_shingles, indexed_rename_hash, simhash64, resume_anti, nested_json_roundtrip,
 )
-QUERIES = {f.__name__: f for f in NAMES}
+QUERIES = {f.__name__: f for f in NAMES} | code_queries.QUERIES
 
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 TRIM = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -248,3 +249,4 @@ SELECT d.doc_id, md5(coalesce(x.t, '')) AS hash FROM documents d LEFT JOIN (
     "resume_anti": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE split_part(b.text, chr(10), 1) = split_part(d.text, chr(10), 1))",
     "nested_json_roundtrip": "SELECT source AS repo, lang, doc_id, round(n_chars / 7, 6) AS similarity, source || '/' || doc_id AS path FROM documents",
 }
+ORACLE_SQL |= code_queries.ORACLE_SQL

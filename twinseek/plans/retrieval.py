@@ -22,15 +22,20 @@ def hashed_model() -> Model:
     """A model without weights: counts of hashed runs of one to three tokens, damped. Others can be given in its place."""
     import re
 
-    token = re.compile(r"\w+|[^\w\s]")
+    token, mix = re.compile(r"\w+|[^\w\s]"), np.uint64(0x9E3779B97F4A7C15)
 
     def run(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), DIMS))
+        out, known = np.zeros((len(texts), DIMS)), {}
         for row, body in zip(out, texts):
             words = token.findall(body)
-            for size in (1, 2, 3):
-                for i in range(len(words) - size + 1):
-                    row[zlib.crc32(" ".join(words[i : i + size]).encode()) % DIMS] += 1
+            for w in words:
+                if w not in known:
+                    known[w] = zlib.crc32(w.encode())
+            hashes = total = np.array([known[w] for w in words], np.uint64)
+            with np.errstate(over="ignore"):
+                for size in (1, 2, 3):
+                    row += np.bincount((total * mix >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS)
+                    total = total[:-1] * mix + hashes[size:]
         return np.log1p(out)
 
     return run
@@ -76,12 +81,15 @@ def retrieve(
 
     Each distinct function meets the k most alike flaws of the corpus (body, fix_func, commit_url). With filtering, a clone
     goes that is as near to the flaw's fix as to the flaw; flaws without a fix of their own take that of the same body, else
-    of the same first line. Of equal bodies the greatest URL counts, of equal functions of a repository the greatest path.
+    the first of the same first line. Of equal bodies the last record's URL and fix count, of equal functions of a repository
+    the last one's path; without a path a clone goes. Records follow each other by `ord`, where the tables have it.
     """
     spark = corpus.sparkSession
+    corpus, functions = (t if "ord" in t.columns else t.withColumn("ord", F.monotonically_increasing_id()) for t in (corpus, functions))
     ready = lambda c: text.preprocess(F.col(c), abstracted(F.col(c)) if abstract else None, batch=True)
     known = corpus.filter("body is not null").withColumn("text", ready("body")).filter("text <> ''")
-    flaws = known.groupBy("text").agg(F.max("commit_url").alias("commit_url"), F.min("body").alias("body"), F.min("fix_func").alias("fix_func"))
+    flaws = known.groupBy("text").agg(F.min_by("body", "ord").alias("body"))
+    urls = known.select(F.col("text").alias("vuln_text"), "commit_url", "ord")
     found = functions.withColumn("text", ready("function")).filter("text <> ''")
     # Ids of distinct texts, from written tables, so that they stay when an executor is lost.
     for name, texts in (("flaws", flaws), ("asked", found.select("text").distinct())):
@@ -89,7 +97,7 @@ def retrieve(
     flaws, asked = (spark.read.parquet(f"{work}/{name}") for name in ("flaws", "asked"))
     near = vectors.similar(asked.select("id", F.col("vector").alias("v")), flaws.select("id", F.col("vector").alias("v")), threshold, k)
     near = near.join(asked.select(F.col("id").alias("query_id"), F.col("text").alias("clone_text"), F.col("vector").alias("clone")), "query_id").join(flaws.withColumnRenamed("text", "vuln_text"), "id")
-    fixes = known.filter("fix_func is not null").groupBy("body").agg(F.min("fix_func").alias("fix")).withColumn("fix_id", F.col("body"))
+    fixes = known.filter("fix_func <> ''").groupBy("body").agg(F.max_by("fix_func", "ord").alias("fix"), F.min("ord").alias("fix_id"))
     linked = match.with_fix(flaws.select(F.col("id").alias("vuln_id"), "body"), fixes.select("fix_id", "body")).join(fixes.select("fix_id", "fix"), "fix_id", "left")
     linked = linked.select(F.col("vuln_id").alias("id"), "fix_id", F.col("how").alias("fix_match"), text.preprocess(F.col("fix"), abstracted(F.col("fix")) if abstract else None).alias("text"))
     near = near.join(linked.drop("text"), "id")
@@ -97,8 +105,11 @@ def retrieve(
         fixed = with_vectors(linked.filter("text <> ''").select("id", "text"), work, make, batch).select("id", F.col("vector").alias("fixed"))
         near = near.join(fixed, "id", "left").withColumn("s_vuln", F.col("similarity")).withColumn("s_fix", vectors.cosine(F.col("fixed"), F.col("clone")))
         near = match.fix_filter(near)
-    paths = found.groupBy("repo", "text").agg(F.max("path").alias("path")).filter("path <> ''").withColumnRenamed("text", "clone_text")
-    return near.join(paths, "clone_text").select("repo", "vuln_text", "clone_text", "similarity", "fix_match", "path", "commit_url")
+    paths = found.select("repo", F.struct("repo", F.col("text")).alias("clone"), "path", "ord")
+    repos = found.select("repo", F.col("text").alias("clone_text")).distinct()
+    results = near.drop("clone").join(repos, "clone_text").withColumn("_text", F.col("clone_text")).withColumn("clone_text", F.struct("repo", F.col("_text").alias("text")))
+    results = match.enrich(results, urls, paths.select(F.col("clone").alias("clone_text"), "path", "ord")).withColumn("clone_text", F.col("_text"))
+    return results.select("repo", "vuln_text", "clone_text", "similarity", "fix_match", "path", "commit_url")
 
 
 def exact(known: DataFrame, targets: DataFrame, order: str, hashed: Callable = hashing.body_hash) -> DataFrame:
@@ -123,7 +134,8 @@ def evaluated(spark: SparkSession, path: str) -> DataFrame:
 def judged(results: DataFrame, sources: DataFrame, client: Callable[[str], str], limit: int | None = None, delay: float = 0.0) -> DataFrame:
     """Verdicts on results (vuln_text, clone_text, ...) whose flaw has a source (body, fix_func), in the order
     of their texts; `limit` is how many are asked about. A delay holds between all calls, so they go through one task then."""
-    known = sources.groupBy(F.col("body").alias("vuln_text")).agg(F.min("fix_func").alias("fix"))
+    sources = sources if "ord" in sources.columns else sources.withColumn("ord", F.monotonically_increasing_id())
+    known = sources.groupBy(F.col("body").alias("vuln_text")).agg(F.max_by(F.coalesce("fix_func", F.lit("")), "ord").alias("fix"))
     rows = results.join(known, "vuln_text").withColumn("vuln", F.col("vuln_text")).withColumn("clone", F.col("clone_text"))
     if limit is not None:
         rows = rows.orderBy("vuln_text", "clone_text").limit(limit)

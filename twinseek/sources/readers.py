@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinseek.functions.abstraction import by_text
 from twinseek.functions.lines import long_enough
-from twinseek.functions.text import basename, language_of
+from twinseek.functions.text import basename, language_of, strip
 
 CORPUS = "`function` string, vuln_func string, func string, fix_func string, commit_url string, commit_message string, cve string, cve_desc string, cwe array<string>"
 BODY = ("function", "vuln_func", "func")
@@ -16,9 +17,15 @@ SPLITS = 100_000
 
 
 def corpus(spark: SparkSession, path: str, body: tuple[str, ...] = BODY, tolerant: bool = False) -> DataFrame:
-    """JSON lines with `body`, the first of its names that is there; a bad line ends the job, or is skipped."""
+    """JSON lines with `body`, the first of its names that is there, and `ord`, by which records follow each
+    other; a bad line ends the job, or is skipped."""
     rows = spark.read.schema(CORPUS).json(path, mode="DROPMALFORMED" if tolerant else "FAILFAST")
-    return rows.withColumn("body", F.coalesce(*body))
+    return rows.withColumn("body", F.coalesce(*body)).withColumn("ord", file_order())
+
+
+def file_order() -> Column:
+    """A row's place: its file, its split, and its place within it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
 
 
 def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,10 +52,10 @@ def numbered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def functions(spark: SparkSession, path: str, suffix: str = "*.json", drop_short: bool = False) -> DataFrame:
     """Arrays of {path, function} in JSON files of a directory, with repo, basename and language.
 
-    Items without a function, or with a blank one, are skipped.
+    Items without a function, or with a blank one, are skipped. `ord` tells how items follow each other.
     """
     rows = spark.read.schema(TARGET).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).json(path)
-    rows = rows.withColumn("json_file", F.col("_metadata.file_name")).filter(F.trim("function") != "")
+    rows = rows.withColumn("json_file", F.col("_metadata.file_name")).withColumn("ord", file_order()).filter(F.trim("function") != "")
     rows = rows.withColumn("repo", F.regexp_replace("json_file", r"(_functions)?\.json$", "")).withColumn("filename", basename(F.col("path"))).withColumn("language", language_of(F.col("path")))
     return rows.filter(long_enough(F.col("function"))) if drop_short else rows
 
@@ -77,9 +84,15 @@ def nested_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_clone_code(results: DataFrame, files: DataFrame) -> DataFrame:
-    """The whole file at the path, or else the clone's own text; files: (path, content)."""
-    text = files.select("path", F.decode("content", "UTF-8").alias("_file"))
-    return results.join(text, "path", "left").withColumn("code", F.coalesce(F.when(F.trim("_file") != "", F.col("_file")), F.when(F.trim("clone_text") != "", F.col("clone_text")), F.lit("// no code"))).drop("_file")
+    """`code`, the whole file at the path, or else the clone's own text, or else a comment that tells what is missing.
+
+    files: (path, content); bytes that are no UTF-8 are left out.
+    """
+    text = files.select("path", by_text(lambda content: content.decode("utf-8", "ignore"))(F.col("content")).alias("_file"))
+    found = results.join(text, "path", "left")
+    own, no_path = F.nullif("clone_text", F.lit("")), F.coalesce(F.col("path") == "", F.lit(True))
+    code = F.when(no_path, F.coalesce(own, F.lit("// No clone code available"))).when(F.col("_file").isNull(), F.coalesce(own, F.concat(F.lit("// File not found: "), "path")))
+    return found.withColumn("code", code.when(strip(F.col("_file")) != "", F.col("_file")).otherwise(F.coalesce(own, F.lit("// Empty file")))).drop("_file")
 
 
 def pending(table: DataFrame) -> DataFrame:
