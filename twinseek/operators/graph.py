@@ -52,9 +52,10 @@ def neighbours(edge_table: DataFrame, lines: DataFrame, key: str = "key") -> Dat
     """(key, kind, code): user code at either end of the edges that touch a line (key, line) of their function;
     kinds are control, data, ast and call. Ends that are lines themselves are left out. Functions meet by their key only."""
     kind = F.when(F.col("edge_type") == "CFG", "control").when(F.col("edge_type").isin("REF", "REACHING_DEF"), "data").otherwise(F.lower("edge_type"))
-    ends = edge_table.select(key, kind.alias("kind"), F.col("src_code").alias("at"), F.col("tgt_code").alias("code")).unionByName(edge_table.select(key, kind.alias("kind"), F.col("tgt_code").alias("at"), F.col("src_code").alias("code")))
+    ways = F.array(*(F.struct(F.col(a).alias("at"), F.col(b).alias("code")) for a, b in (("src_code", "tgt_code"), ("tgt_code", "src_code"))))
+    ends = edge_table.select(key, kind.alias("kind"), F.explode(ways).alias("x")).select(key, "kind", "x.*").distinct()
     own = lines.select(key, "line").distinct()
-    codes = ends.select(key, F.col("at").alias("code")).union(ends.select(key, "code")).distinct()
+    codes = ends.select(key, F.col("at").alias("code")).distinct()
     touching = codes.join(own, key).filter(same_code(F.col("line"), F.col("code"))).select(key, "code").distinct()
     found = ends.filter(user_code(F.col("code"))).join(touching.withColumnRenamed("code", "at"), [key, "at"], "left_semi")
     return found.select(key, "kind", "code").distinct().join(touching, [key, "code"], "left_anti").select(key, "kind", "code")
@@ -69,9 +70,9 @@ def distinct_edges(edge_table: DataFrame, key: str = "key") -> DataFrame:
 
 def control_statements(edge_table: DataFrame, key: str = "key") -> DataFrame:
     """(key, code): codes of control-flow edges, and of syntax-tree ends that are control structures; user code only."""
-    e = edge_table
-    cfg, ast = e.filter("edge_type = 'CFG'"), e.filter("edge_type = 'AST'")
-    found = cfg.select(key, F.col("src_code").alias("code")).union(cfg.select(key, "tgt_code")).union(ast.filter("src_label = 'CONTROL_STRUCTURE'").select(key, "src_code")).union(ast.filter("tgt_label = 'CONTROL_STRUCTURE'").select(key, "tgt_code"))
+    kind, control = F.col("edge_type"), F.lit("CONTROL_STRUCTURE")
+    of = lambda code, label: F.when((kind == "CFG") | (kind == "AST") & (F.col(label) == control), F.col(code))
+    found = edge_table.select(key, F.explode(F.array(of("src_code", "src_label"), of("tgt_code", "tgt_label"))).alias("code"))
     return found.filter(user_code(F.col("code"))).distinct()
 
 

@@ -5,7 +5,7 @@ The tables hold prose, so some queries make comments and literals of common word
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinseek.functions import abstraction, hashing, lines, text
@@ -159,11 +159,11 @@ def long_functions(spark, sf):
 
 def _graph(spark, sf) -> DataFrame:
     """A graph for each document: an edge from each word to the next, kinds in turn, every eleventh line outside the markers."""
-    words = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.posexplode(hashing.shingles(hashing.word_tokens(F.replace("text", F.lit(":"), F.lit(""))), 1)).alias("i", "w"))
-    after = words.select("key", (F.col("i") - 1).alias("i"), F.col("w").alias("next"))
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.posexplode(hashing.word_tokens(F.replace("text", F.lit(":"), F.lit("")))).alias("i", "w"))
+    after = F.lead("w").over(Window.partitionBy("key").orderBy("i"))
     kinds = F.element_at(F.array(*map(F.lit, graph.KINDS)), (F.col("i") % 5 + 1).cast("int"))
     label = F.when(F.col("i") % 3 == 0, "CONTROL_STRUCTURE").otherwise("CALL")
-    rows = words.join(after, ["key", "i"]).select("key", ((F.col("i") + 1) * 3).cast("long").alias("pos"), F.concat_ws(":", kinds, F.col("i").cast("string"), F.when(F.col("i") % 4 == 0, "RET").otherwise(F.col("w")), label, F.lit("None"), "next", F.lit("A:B")).alias("line"))
+    rows = words.withColumn("next", after).filter("next is not null").select("key", ((F.col("i") + 1) * 3).cast("long").alias("pos"), F.concat_ws(":", kinds, F.col("i").cast("string"), F.when(F.col("i") % 4 == 0, "RET").otherwise(F.col("w")), label, F.lit("None"), "next", F.lit("A:B")).alias("line"))
     marks = words.filter("i % 11 = 0").select("key", F.explode(F.array(F.struct((F.col("i") * 3 + 1).cast("long").alias("pos"), F.lit("EDGES_END").alias("line")), F.struct(((F.col("i") + 1) * 3 + 1).cast("long").alias("pos"), F.lit(" EDGES_START ").alias("line")))).alias("x")).select("key", "x.*")
     return graph.edges(rows.unionByName(marks))
 
