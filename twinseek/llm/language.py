@@ -24,6 +24,8 @@ UNKNOWN = 1e-7
 SIDE = 32
 #: Documents of each language that the probabilities are learned from, at most: those of least hash.
 SAMPLE = 600
+#: Shares in which a language's documents are ranked first, so that no task has to rank all of them.
+SHARES = 64
 #: Numbers that a task keeps of words that it has scored, at most, and makes at once: fewer words where there are more languages.
 KEPT, AT_ONCE = 2_000_000, 100_000
 START = 0x2581
@@ -208,8 +210,11 @@ def train(docs: DataFrame, path: str, train_where, sample: int = SAMPLE) -> tupl
     rows = docs.filter(train_where & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Tasks send `sample` keys of each language at most: the limit on the rank is applied before the exchange too.
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
+    # A language's keys are first ranked in SHARES shares, then what is left of it together.
+    first = F.row_number().over(Window.partitionBy("lang", "share").orderBy("key"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = rows.select("lang", key.alias("key")).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "key").toArrow()
+    few = rows.select("lang", key.alias("key")).withColumn("share", F.pmod("key", F.lit(SHARES))).withColumn("rank", first).filter(F.col("rank") <= sample)
+    picked = few.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "key").toArrow()
     names = sorted(set(picked.column("lang").to_pylist()))
     if not names:
         return [], np.zeros((vocabulary(path).size + 1, 0))

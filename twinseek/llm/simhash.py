@@ -29,6 +29,8 @@ WIDE, FIRST, RADIUS = 4, 23, 76
 WIDE_TILE = 1 << 14
 #: Members of a group that meet its leader in one place, and shingles of members that are compared together, about.
 SPREAD, TILE_SHINGLES = 10_000, 250_000
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 100_000
 #: Bits that tell which ids are in candidates.
 BITS = 1 << 26
 
@@ -353,6 +355,11 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("spot", spot).mapInArrow(run, "doc_id long, text string")
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """A table that is sent to all tasks if it has SENT rows at most, so that rows of a large group stay where they are."""
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
 def leaders(members: DataFrame) -> DataFrame:
     """(root, leader) of members (root, rep, fp): that whose fingerprint is nearest to the bits that most of its group have."""
     bits = members.select("root", F.posexplode("fp").alias("w", "x"))
@@ -360,7 +367,7 @@ def leaders(members: DataFrame) -> DataFrame:
     word = F.lit(0).cast("long")
     for i in range(64):
         word = word.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    middle = counted.select("root", "w", word.alias("middle"))
+    middle = sent(cut(counted.select("root", "w", word.alias("middle")), members.sparkSession))
     far = members.select("root", "rep", F.posexplode("fp").alias("w", "x")).join(middle, ["root", "w"]).groupBy("root", "rep").agg(F.sum(F.bit_count(F.col("x").bitwiseXOR(F.col("middle")))).alias("far"))
     return far.groupBy("root").agg(F.min_by("rep", F.struct("far", "rep")).alias("leader"))
 
@@ -395,7 +402,7 @@ def similar(members: DataFrame, docs: DataFrame, size: int, share: tuple[int, in
     """
     spark = docs.sparkSession
     num, den = share
-    led = cut(leaders(members), spark)
+    led = sent(cut(leaders(members), spark))
     texts = of_ids(docs, members.select(F.col("rep").alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +417,7 @@ def similar(members: DataFrame, docs: DataFrame, size: int, share: tuple[int, in
     sets = spark.read.schema("root long, rep long, set array<long>").parquet(path)
     # Large groups are dealt out, with their leader's set to each share of them.
     groups = sets.groupBy("root").agg(F.ceil(F.count("*") / SPREAD).alias("parts"), F.greatest(F.ceil(F.sum(F.size("set")) / TILE_SHINGLES), F.lit(1)).alias("tiles"))
-    groups = cut(groups, spark)
+    groups = sent(cut(groups, spark))
     salted = sets.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
     first = sets.join(led, "root").filter("rep = leader").join(groups, "root").select("root", "leader", F.col("set").alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     both = salted.join(first, ["root", "part"]).filter("rep <> leader")
