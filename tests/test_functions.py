@@ -1,6 +1,7 @@
 """Hand-made cases of the text functions, line sets, abstraction, joins, sources and sinks."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,7 +188,7 @@ def test_a_copy_with_other_names_is_found(spark):
     from twinseek.plans import detection
 
     fixed = RENAMED.replace("strcpy(place_of(place), ", "strlcpy(limit_of(size), place_of(place), ")
-    other = RENAMED.replace("size", "amount").replace("place =", "spot =").replace("(place", "(spot")
+    other = re.sub(r"\bplace\b", "spot", RENAMED.replace("size", "amount"))
     pairs = spark.createDataFrame([("s", RENAMED, RENAMED, fixed)], "sig_id string, fo string, fd string, fp string")
     signed = detection.signatures(pairs)
     targets = detection.targets_of(spark.createDataFrame([(1, RENAMED), (2, other), (3, fixed), (4, fixed.replace("size", "amount")), (5, "int x;")], "target_id int, function string"))
