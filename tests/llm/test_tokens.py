@@ -56,3 +56,15 @@ def test_row_groups_without_an_id_are_skipped(spark):
     assert scanned([4_001]) == (0, 0)  # the Bloom filter knows that an odd id is not there
     ids = np.concatenate([np.array(r["ids"]) for r in token_orc.read(spark, path, [4_000]).collect()])
     assert ids.tolist() == Tokenizer.from_file(JSON).encode("text 2000", add_special_tokens=False).ids + [2]
+
+
+def test_memory_is_given_back_after_every_chunk(monkeypatch):
+    """Chunks hold half a MB of text, and what the queries of one have freed does not wait for the eighth."""
+    given = []
+    monkeypatch.setattr(bpe, "give_back", lambda: given.append(1))
+    batch = pa.record_batch({"doc_id": pa.array(range(500)), "text": pa.array(["the house " * 1000] * 500)})
+    sizes = []
+    for part in bpe.encoded(iter([batch]), FAST, True, False):
+        assert len(given) >= len(sizes)
+        sizes.append(part.num_rows * 10_000)
+    assert sum(sizes) == 5_000_000 and max(sizes) <= 1 << 19 and len(given) >= len(sizes)

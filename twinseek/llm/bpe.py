@@ -27,7 +27,11 @@ from twinseek.llm.shared import table
 #: Bytes of a piece up to which a round contracts one pair.
 LONG = 256
 #: Bytes of pieces in one recursive query, and rows that its rounds make, about; a query that is not done by then goes on in the next.
-QUERY_BYTES, ROUND_ROWS = 100_000, 1_000_000
+QUERY_BYTES, ROUND_ROWS = 50_000, 1_000_000
+#: Bytes of text that are looked at together. What a chunk's queries free is given back after it: allocators would keep more than is used.
+CHUNK = 1 << 19
+#: Pieces whose ids are kept between chunks.
+KEPT = 250_000
 
 ENCODE = """
 WITH RECURSIVE seq(gen, piece, pos, id) AS (
@@ -87,7 +91,7 @@ class Coder:
     def __init__(self, path: str):
         import duckdb
 
-        self.ranks, self.known = read_ranks(path), Known()
+        self.ranks, self.known = read_ranks(path), Known(KEPT)
         pairs = [(a, b, m) for token, m in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect()
@@ -147,38 +151,40 @@ def coder(path: str) -> Coder:
     return kept(f"duckdb bpe {path}", lambda: Coder(path))
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, ids_too: bool, texts_too: bool) -> Iterator[pa.RecordBatch]:
+    """encode_decode() of a task's rows."""
+    work = coder(path)
+    for part in chunks(batches, most=CHUNK):
+        data, at, doc = pieces(part.column("text"))
+        distinct, codes = coded(data, at)
+        rows, columns = work.known.look_up(distinct, work.make)
+        rows = pa.array(rows[codes])
+        n = np.append(0, np.cumsum(columns[0].take(rows).to_numpy()))[doc]
+        out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(n).astype(np.int64))}
+        for name, column, cut_off in (("ids", columns[1], 1), ("decoded", columns[2], 0)):
+            all_bytes, ends = text_bytes(column.take(rows))
+            ends = ends[doc]
+            view = memoryview(np.ascontiguousarray(all_bytes))
+            spans = [(a, max(a, b - cut_off)) for a, b in zip(ends[:-1], ends[1:])]
+            out[f"{name}_sha256"] = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in spans], pa.string())
+            if name == "ids" and ids_too:
+                values = np.fromstring(bytes(view), np.int32, sep=" ") if len(view) else np.zeros(0, np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(values))
+            if name == "decoded" and texts_too:
+                out["decoded"] = pa.array([bytes(view[a:b]) for a, b in spans], pa.binary())
+        yield pa.record_batch({k: out[k] for k in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded") if k in out})
+        give_back()
+
+
 def encode_decode(docs: DataFrame, path: str, ids_too: bool = False, texts_too: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids_too also ids, with texts_too also the decoded bytes, of every row.
 
     Null texts count as empty; the empty text has no ids, and its digests are those of nothing. Null or repeated ids and
     other columns make no difference.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = coder(path)
-        for part in chunks(batches):
-            data, at, doc = pieces(part.column("text"))
-            distinct, codes = coded(data, at)
-            rows, columns = work.known.look_up(distinct, work.make)
-            rows = pa.array(rows[codes])
-            n = np.append(0, np.cumsum(columns[0].take(rows).to_numpy()))[doc]
-            out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.diff(n).astype(np.int64))}
-            for name, column, cut_off in (("ids", columns[1], 1), ("decoded", columns[2], 0)):
-                all_bytes, ends = text_bytes(column.take(rows))
-                ends = ends[doc]
-                view = memoryview(np.ascontiguousarray(all_bytes))
-                spans = [(a, max(a, b - cut_off)) for a, b in zip(ends[:-1], ends[1:])]
-                out[f"{name}_sha256"] = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in spans], pa.string())
-                if name == "ids" and ids_too:
-                    values = np.fromstring(bytes(view), np.int32, sep=" ") if len(view) else np.zeros(0, np.int32)
-                    out["ids"] = pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(values))
-                if name == "decoded" and texts_too:
-                    out["decoded"] = pa.array([bytes(view[a:b]) for a, b in spans], pa.binary())
-            yield pa.record_batch({k.split()[0]: out[k.split()[0]] for k in schema.split(", ")})
-
     more = ["ids array<int>"] * ids_too + ["decoded binary"] * texts_too
     schema = ", ".join(["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *more])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: encoded(batches, path, ids_too, texts_too), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
