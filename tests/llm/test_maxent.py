@@ -113,6 +113,71 @@ def test_features_help_classes_and_words(spark):
     assert at(b"c1", b"xx", b"aa") > 3 * at(b"c1", b"c2", b"aa")
 
 
+def whole_chance(model, own, place, word_id):
+    """chance(), for a word of a group by the steps of the tree below it."""
+    classes, outputs = distribution(model, own, place)
+    kind = model.kinds[word_id]
+    if kind < maxent.SINGLE or kind >= maxent.SINGLE + maxent.ALIKE:
+        return chance(model, word_id, classes, outputs)
+    none = len(model.words) + maxent.ALIKE + 1
+    before = [int(own[place - k]) if place >= k else none for k in (1, 2)]
+    p = classes[kind] * outputs[kind - maxent.SINGLE][model.out[word_id]]
+    for step in model.branch[model.path[word_id] : model.path[word_id + 1]]:
+        node, branch = divmod(int(step), maxent.FAN)
+        rows = [((((b * 1_000_003 + node) * 8 + 5 + k) * 0x9E3779B97F4A7C15) & MASK) >> (64 - maxent.TREE_ROWS.bit_length() + 1) for k, b in enumerate(before)]
+        z = np.exp(model.below[rows].astype(np.float64).sum(0) + model.node_bias[node])
+        p *= z[branch] / z.sum()
+    return p
+
+
+def test_words_of_groups_are_scored_by_a_tree(spark):
+    """More words than outputs: scores against plain Python, and the chances of all words sum to one."""
+    rng = np.random.default_rng(2)
+    names = np.array([f"w{i}" for i in range(6000)])
+    rows = [(i, " ".join(names[np.minimum(rng.zipf(1.3, 100) - 1, rng.integers(0, 6000, 100))]), "en", "a") for i in range(400)]
+    model, counts, coded = maxent.train(spark.createDataFrame(rows, SCHEMA).repartition(3), F.lit(True))
+    n, depth = len(model.words), np.diff(model.path)
+    assert n > maxent.SINGLE + maxent.ALIKE * maxent.OUTPUTS and depth.max() > 1
+    steps = [(int(model.kinds[i]), int(model.out[i]), *model.branch[model.path[i] : model.path[i + 1]]) for i in range(n)]
+    assert len(set(steps)) == n  # every word has outputs of its own
+    ids = {w.as_py(): i for i, w in enumerate(model.words)}
+    got = {r["doc_id"]: r["score"] for r in maxent.score(model, counts, coded).collect()}
+    for i, text, *_ in rows[::100]:
+        own = [ids[w] for w in tokens(text)]
+        assert got[i] == pytest.approx(sum(math.log10(whole_chance(model, own, place, w)) for place, w in enumerate(own)), rel=1e-5)
+    for own in ([7, 900, 1, 0], [n - 1]):
+        classes, _ = distribution(model, own, len(own) - 1)
+        empty_ = sum(classes[k] for k in range(maxent.CLASSES) if k >= maxent.SINGLE + maxent.ALIKE or model.class_n[k] == 0)
+        assert sum(whole_chance(model, own, len(own) - 1, i) for i in range(n)) + empty_ == pytest.approx(1, abs=1e-5)
+
+
+def test_features_help_words_of_groups(spark):
+    """After x3 comes a3zzz: of two words of one group, the one that follows is likelier, whatever their counts."""
+    rng = np.random.default_rng(3)
+    common = np.array([f"c{i}" for i in range(1200)])
+    rows = []
+    for i in range(20_000):
+        pair = [f"x{(j := rng.integers(60))}", f"a{j}zzz"] * int(rng.integers(2))
+        rows.append((i, " ".join([*common[rng.integers(0, 1200, 9)], *pair, *common[rng.integers(0, 1200, 5)]]), "en", "a"))
+    model, _, _ = maxent.train(spark.createDataFrame(rows, SCHEMA).repartition(1), F.lit(True))
+    ids = {w.as_py(): i for i, w in enumerate(model.words)}
+    a, x, gains = [ids[f"a{j}zzz".encode()] for j in range(60)], [ids[f"x{j}".encode()] for j in range(60)], []
+    for i in range(60):
+        for j in range(60):
+            if i != j and model.kinds[a[i]] == model.kinds[a[j]] and model.out[a[i]] == model.out[a[j]]:
+                p, q = (whole_chance(model, [1, x[i], w], 2, w) / model.counts[w] for w in (a[i], a[j]))
+                gains.append(math.log(p / q))
+    assert len(gains) > 20 and np.median(gains) > math.log(2)
+
+
+def test_small_dictionaries_need_no_groups(prose, monkeypatch):
+    """Classes are evened out: each word has an output of its own."""
+    monkeypatch.setattr(maxent, "DICTIONARY", 250)
+    model, _, _ = maxent.train(prose, F.lit(True), rounds=0)
+    assert len({(int(model.kinds[i]), int(model.out[i])) for i in range(len(model.words))}) == len(model.words)
+    assert not len(model.branch)
+
+
 def test_edges(docs, empty):  # noqa: F811
     got = maxent.scored(docs, F.lit(True)).collect()
     assert len(got) == len(ROWS) and all(r["n_known"] == r["n_tokens"] and r["score"] <= 0 for r in got)

@@ -2,9 +2,11 @@
 
 A word's chance is that of its class, given hashed features of the words before it (the last one, the last two, and two
 skips), times that of the word in its class, given hashed features of the class with the last word and with the one before
-(a skip). The commonest words are classes by themselves. A class of alike words has an output for each of its OWN commonest
-words and some for the rest, by their endings; in such a group, and among words beyond the dictionary, counts tell a word's
-part. The counts of all training words come from the whole corpus.
+(a skip). The commonest words are classes by themselves. A class of alike words has an output for each word if it has enough,
+else for each of its OWN commonest words and some for groups of the rest, by their endings. Below such a group a tree goes down
+to the words: a step's chance is a softmax too, given hashed features of the node with the last word and with the one before.
+So every word of the dictionary has outputs of its own; among words beyond it counts tell a word's part. The counts of all
+training words come from the whole corpus.
 
 The weights are trained by distributed gradient updates: in each round every task starts from the same weights, takes
 gradient steps over its own documents, and the tasks' changes are averaged by their numbers of words. Rounds share the
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm.columns import Known, chunks, coded, give_back, held_out, spaces, text_bytes, words
+from twinseek.llm.columns import Known, chunks, coded, give_back, held_out, ranges, spaces, text_bytes, words
 from twinseek.llm.shared import new_path, table
 
 #: Words that all tasks know, at most, and the longest of them in bytes; so 16 MB at most.
@@ -35,6 +37,8 @@ SINGLE, ALIKE, ROWS, FEATURES, INNER = 24, 16, 1 << 13, 4, 2
 CLASSES = SINGLE + 2 * ALIKE
 #: Outputs of a class of alike words, and those that stand for a word of its own.
 OUTPUTS, OWN = 64, 48
+#: Branches of a node below a group, of which the first half are words as long as there are more; hashed rows of weights of all nodes.
+FAN, TREE_ROWS = 16, 1 << 14
 #: Commonest words that classes of alike words are made from, and commonest words beside them that count. Other words go by their endings.
 FITTED, CONTEXT = 1 << 14, 48
 ROUNDS, BATCH, RATE = 2, 1 << 14, 0.2
@@ -83,7 +87,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 class Model:
     """words (the dictionary, END first), counts, cls: each word's class; ending: class of other words by their last bytes;
-    out: the output of its class that stands for a word; share: log10 of a word's part of its output.
+    out: the output of its class that stands for a word; branch[path[i] : path[i + 1]]: the steps of id i below its output, each a
+    node's number times FAN and the branch taken; node_bias: log of the branches' parts of a node's count.
 
     Tasks get a model's values, from which of() makes it again: they need not be able to import this class.
     """
@@ -108,8 +113,8 @@ class Model:
         """The class of each id."""
         return np.append(self.cls, SINGLE + ALIKE + np.arange(ALIKE))
 
-    def features(self, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """(class of each word, rows of its class's features, rows of the features of the word in its class) of ids in texts."""
+    def features(self, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """(class of each word, rows of its class's features, rows of the features of the word in its class, the words before) of ids in texts."""
         kind = self.kinds[own]
         none = len(self.words) + ALIKE + 1
         before = []
@@ -126,7 +131,19 @@ class Model:
             keys = [before[0] * 8 + 1, (before[0] * 1_000_003 + before[1]) * 8 + 2, before[1] * 8 + 3, before[2] * 8 + 4]
             rows = [((k.astype(np.uint64) * mix) >> turn).astype(np.int32) for k in keys]
             inner = [((((before[k] * CLASSES + kind) * 8 + 5 + k).astype(np.uint64) * mix) >> turn).astype(np.int32) for k in range(INNER)]
-        return kind, rows, inner
+        return kind, rows, inner, before[:INNER]
+
+    def steps_below(self, own: np.ndarray, before: list[np.ndarray], most: int) -> Iterator[tuple]:
+        """(place of the word, rows of the step's features, node, branch) of all steps below outputs, by `most` words that have any."""
+        at, turn = np.flatnonzero(self.path[own + 1] > self.path[own]), np.uint64(64 - TREE_ROWS.bit_length() + 1)
+        for lo in range(0, len(at), most):
+            some = at[lo : lo + most]
+            begin, n = self.path[own[some]], self.path[own[some] + 1] - self.path[own[some]]
+            place, step = np.repeat(some, n), self.branch[ranges(begin, n)]
+            node = step // FAN
+            with np.errstate(over="ignore"):
+                rows = [((((b[place] * 1_000_003 + node) * 8 + 5 + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> turn).astype(np.int32) for k, b in enumerate(before)]
+            yield place, rows, node, step % FAN
 
 
 def endings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -167,33 +184,46 @@ def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None
     return z
 
 
-def steps(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], target: np.ndarray, kind: np.ndarray | None = None, allowed: np.ndarray | None = None) -> None:
-    """One gradient step (Adagrad) on a batch of words. The last row of the weights is the bias; with kind and allowed the last
-    rows are, one for each kind, and outputs that a kind does not have are not allowed.
+def summed(rows: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of g over each): rows[i] gets g[i % len(g)]; rows are below most.
 
-    Gradients of all rows are summed output by output, which stays in the cache; rows of no word have none and stay as they are.
+    The first of each row are taken together, then the second, and so on, the most frequent rows first; the last few rows by themselves.
+    """
+    order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    n = np.diff(np.append(first, len(rows)))
+    by = np.argsort(-n, kind="stable")
+    first, n, source = first[by], n[by], order % len(g)
+    total, k = np.take(g, source[first], axis=0), 1
+    while (left := int(np.searchsorted(-n, -k))) > 24:
+        total[:left] += np.take(g, source[first[:left] + k], axis=0)
+        k += 1
+    for i in range(left):
+        total[i] += np.take(g, source[first[i] + k : first[i] + n[i]], axis=0).sum(0)
+    return ranked[first], total
+
+
+def steps(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], target: np.ndarray, kind: np.ndarray | None = None, allowed: np.ndarray | None = None, bias: np.ndarray | None = None) -> None:
+    """One gradient step (Adagrad) on a batch of words. The last row of the weights is the bias; with kind and allowed the last
+    rows are, one for each kind, and outputs that a kind does not have are not allowed. With kind and bias the kinds' biases
+    are given and stay. Rows of no word have no gradient and stay as they are.
     """
     g = np.empty((len(target), weights.shape[1]), weights.dtype)
-    free = len(weights) - (1 if kind is None else len(allowed))
-    own_bias = None if kind is None else weights[free:] + allowed
+    free = len(weights) - (len(allowed) if allowed is not None else 1 if bias is None else 0)
+    own_bias = weights[free:] + allowed if allowed is not None else bias
     for lo in range(0, len(target), LOOK):
         z = logits(weights, [r[lo : lo + LOOK] for r in rows], None if kind is None else own_bias[kind[lo : lo + LOOK]])
         g[lo : lo + LOOK] = softmax(z)
     g[np.arange(len(g)), target] -= 1
-    places = [r.astype(np.intp) for r in rows] + ([] if kind is None else [kind + free])
-    grad = np.zeros(weights.shape[::-1], weights.dtype)
-    for k, own in enumerate(np.ascontiguousarray(g.T, np.float64)):
-        total = np.bincount(places[0], weights=own, minlength=len(weights))
-        for at in places[1:]:
-            total += np.bincount(at, weights=own, minlength=len(weights))
-        if kind is None:
-            total[-1] += own.sum()
-        grad[k] = total
-    grad = np.ascontiguousarray(grad.T)
-    squares += grad * grad
+    at, grad = summed(np.concatenate(rows + ([kind + free] if allowed is not None else [])), g, len(weights))
+    if kind is None:
+        at, grad = np.append(at, free), np.concatenate([grad, g.sum(0, keepdims=True)])
+    total = squares[at] + grad * grad
+    squares[at] = total
     grad *= RATE
-    grad /= np.sqrt(squares)
-    weights -= grad
+    grad /= np.sqrt(total, out=total)
+    weights[at] -= grad
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -231,6 +261,7 @@ def code(docs: DataFrame, model: Model) -> DataFrame:
     path = new_path(spark, "coded-texts")
     schema = "row long, doc_id long, trains boolean, ids array<int>, other array<struct<word: binary, tf: int>>"
     docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "trains", "text").select("row", "doc_id", "trains", "text").mapInArrow(run, schema).write.parquet(path)
+    told.destroy()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -292,24 +323,71 @@ def make_classes(model: Model, seen: np.ndarray) -> None:
     model.cls[rest] = SINGLE + np.where(cluster[rest] >= 0, cluster[rest], model.ending[last[rest]])
 
 
+def even_out(model: Model) -> None:
+    """As long as the classes' outputs suffice for the whole dictionary, words that find none in their class go where there is room."""
+    n = np.bincount(model.cls, minlength=SINGLE + ALIKE)[SINGLE:]
+    if n.sum() <= ALIKE * OUTPUTS:
+        over = np.concatenate([np.flatnonzero(model.cls == SINGLE + a)[OUTPUTS:] for a in range(ALIKE)])
+        room = np.repeat(np.arange(ALIKE), np.maximum(OUTPUTS - n, 0))
+        model.cls[over] = SINGLE + room[: len(over)]
+
+
 def make_outputs(model: Model) -> None:
-    """The outputs of classes of alike words: the OWN commonest words one each, the others in groups by their endings."""
+    """The outputs of classes of alike words: one for each word, or if there are too many the OWN commonest one each and the others in
+    groups by their endings, with a tree down to the words below each."""
+    even_out(model)
     n = len(model.words)
     data, at = text_bytes(model.words)
     group = endings(data, at) % (OUTPUTS - OWN)
-    model.out, model.share = np.zeros(n, np.int64), np.zeros(n)
+    model.out, below = np.zeros(n, np.int64), np.full(n, -1)
     model.allowed = np.full((ALIKE, OUTPUTS), -np.inf, np.float32)
     model.out_n = np.zeros((ALIKE, OUTPUTS))
     for a in range(ALIKE):
         own = np.flatnonzero(model.cls == SINGLE + a)  # the commonest first
-        out = np.where(np.arange(len(own)) < OWN, np.arange(len(own)), OWN + group[own])
+        rank = np.arange(len(own))
+        out = np.where((rank < OWN) | (len(own) <= OUTPUTS), rank, OWN + group[own])
         total = np.bincount(out, weights=model.counts[own], minlength=OUTPUTS)
         model.out[own], model.out_n[a] = out, total
         model.allowed[a][total > 0] = 0
-        model.share[own] = np.log10(np.maximum(model.counts[own], 1)) - np.log10(np.maximum(total[out], 1))
+        if len(own) > OUTPUTS:
+            below[own[OWN:]] = a * OUTPUTS + out[OWN:]
+    make_tree(model, below)
     model.kinds = model.classes()
 
 
+def make_tree(model: Model, below: np.ndarray) -> None:
+    """Trees down to the words below each group: below is a word's group, or less than 0 without one.
+
+    Up to FAN words are the branches of a node. Of more words the FAN / 2 commonest are, and the others share the other branches
+    evenly in the order of their spelling from the end, each a node again.
+    """
+    n, half = len(model.words), FAN // 2
+    spelling = np.empty(n, np.int64)
+    spelling[pc.array_sort_indices(pc.binary_reverse(model.words)).to_numpy()] = np.arange(n)
+    word = np.flatnonzero(below >= 0)
+    group, nodes, found = below[word], 0, []
+    while len(word):
+        _, node, size = np.unique(group, return_inverse=True, return_counts=True)
+        word, node = word[size[node] > 1], node[size[node] > 1]  # a word alone has no step to take
+        _, node, size = np.unique(node, return_inverse=True, return_counts=True)
+        begin = np.cumsum(size) - size
+        order = np.lexsort((word, node))  # the commonest first
+        word, node = word[order], node[order]
+        rank, size = np.arange(len(word)) - begin[node], size[node]
+        more = np.flatnonzero((size > FAN) & (rank >= half))
+        by = more[np.lexsort((spelling[word[more]], node[more]))]
+        place = np.arange(len(word)) - begin[node] - half  # `by` fills the places of `more`, which are a node's last
+        rank[by] = half + place[more] * half // (size[more] - half)
+        found.append((word, (nodes + node) * FAN + rank))
+        word, group, nodes = word[more], node[more] * FAN + rank[more], nodes + len(begin)
+    word, branch = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(word, kind="stable")
+    model.path, model.branch = np.append(0, np.cumsum(np.bincount(word, minlength=n + ALIKE))), branch[order].astype(np.int32)
+    count = np.bincount(branch, weights=model.counts[word], minlength=nodes * FAN).reshape(nodes, FAN)
+    with np.errstate(divide="ignore"):
+        model.node_bias = (np.log(count) - np.log(count.sum(1, keepdims=True))).astype(np.float32)
+
+
 def train(docs: DataFrame, train_where, rounds: int = ROUNDS) -> tuple[Model, DataFrame, DataFrame]:
     """(model, counts, coded texts of all rows), learned from the rows where train_where holds."""
     spark = docs.sparkSession
@@ -356,26 +434,28 @@ def train(docs: DataFrame, train_where, rounds: int = ROUNDS) -> tuple[Model, Da
     outer, inner = np.zeros((ROWS + 1, CLASSES), np.float32), np.zeros((ROWS + ALIKE, OUTPUTS), np.float32)
     outer[-1] = np.log(model.class_n + 1) - np.log(model.class_n.sum() + CLASSES)
     inner[ROWS:] = np.log(np.maximum(model.out_n, 1)) - np.log(np.maximum(model.out_n.sum(1, keepdims=True), 1))
-    weights, shapes = np.concatenate([outer.ravel(), inner.ravel()]), (outer.shape, inner.shape)
+    below = np.zeros((TREE_ROWS if len(model.branch) else 0, FAN), np.float32)
+    weights, shapes = np.concatenate([outer.ravel(), inner.ravel(), below.ravel()]), (outer.shape, inner.shape, below.shape)
 
     for turn in range(rounds if len(model.words) > 1 else 0):
-        now = spark.sparkContext.broadcast((vars(model).copy(), weights))
+        now = spark.sparkContext.broadcast(weights)
 
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            values, base = now.value
-            model = Model.of(values)
+            model, base = Model.of(told.value), now.value
             weights, squares, n = base.copy(), np.full_like(base, 1.0), 0
-            (outer, inner), (outer_squares, inner_squares) = parted(weights, shapes), parted(squares, shapes)
+            (outer, inner, below), (outer_squares, inner_squares, below_squares) = parted(weights, shapes), parted(squares, shapes)
             for _, own, doc in texts_of(batches):
-                kind, rows, within = model.features(own, doc)
+                kind, rows, within, before = model.features(own, doc)
                 for lo in range(0, len(own), BATCH):
                     steps(outer, outer_squares, [r[lo : lo + BATCH] for r in rows], kind[lo : lo + BATCH])
                 at = np.flatnonzero((kind >= SINGLE) & (kind < SINGLE + ALIKE))
                 for lo in range(0, len(at), BATCH):
                     some = at[lo : lo + BATCH]
                     steps(inner, inner_squares, [r[some] for r in within], model.out[own[some]], kind[some] - SINGLE, model.allowed)
+                for _, under, node, branch in model.steps_below(own, before, BATCH // 4):
+                    steps(below, below_squares, under, branch, node, bias=model.node_bias)
                 n += len(own)
             if n:
                 change, task = (weights - base) * np.float32(n), TaskContext.get().partitionId()
@@ -393,7 +473,9 @@ def train(docs: DataFrame, train_where, rounds: int = ROUNDS) -> tuple[Model, Da
             at = r["block"] * BLOCK
             change = np.frombuffer(r["change"], np.float32)
             weights[at : at + len(change)] += change / r["n"]
-    model.outer, model.inner = parted(weights, shapes)
+        now.destroy()
+    told.destroy()  # executors keep it as a file each
+    model.outer, model.inner, model.below = parted(weights, shapes)
     return model, counts, coded_
 
 
@@ -411,7 +493,7 @@ def log_chances(z: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def chances(model: Model, own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """log10 of each word's chance. Of a word beyond the dictionary it lacks log10(its count + 1)."""
-    kind, rows, within = model.features(own, doc)
+    kind, rows, within, before = model.features(own, doc)
     out = np.empty(len(own))
     for lo in range(0, len(own), LOOK):
         out[lo : lo + LOOK] = log_chances(logits(model.outer, [r[lo : lo + LOOK] for r in rows]), kind[lo : lo + LOOK])
@@ -419,7 +501,10 @@ def chances(model: Model, own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     for lo in range(0, len(at), LOOK):
         some = at[lo : lo + LOOK]
         bias = (model.inner[ROWS:] + model.allowed)[kind[some] - SINGLE]
-        out[some] += log_chances(logits(model.inner, [r[some] for r in within], bias), model.out[own[some]]) + model.share[own[some]]
+        out[some] += log_chances(logits(model.inner, [r[some] for r in within], bias), model.out[own[some]])
+    for place, under, node, branch in model.steps_below(own, before, LOOK):
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        out[place[first]] += np.add.reduceat(log_chances(logits(model.below, under, model.node_bias[node]), branch), first)
     at = np.flatnonzero(kind >= SINGLE + ALIKE)
     out[at] -= np.log10(model.class_n + model.class_v + 1)[kind[at]]
     return out
