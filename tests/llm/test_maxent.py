@@ -170,6 +170,37 @@ def test_features_help_words_of_groups(spark):
     assert len(gains) > 20 and np.median(gains) > math.log(2)
 
 
+def test_gradients_are_summed_by_row():
+    """Against a plain sum, with rare and with very frequent rows; and steps leave other rows as they are."""
+    rng = np.random.default_rng(4)
+    g = rng.normal(size=(3000, 7)).astype(np.float32)
+    for rows in (rng.integers(0, 9000, 6000), rng.zipf(1.5, 9000) % 9000, np.full(3000, 5), np.arange(3000)):
+        want = np.zeros((9000, 7))
+        np.add.at(want, rows, np.tile(g, (len(rows) // 3000, 1)).astype(np.float64))
+        at, got = maxent.summed(rows, g, 9000)
+        assert sorted(at) == sorted(set(rows.tolist())) and np.allclose(got, want[at], rtol=1e-4, atol=1e-3)
+    weights = rng.normal(size=(100, 7)).astype(np.float32)
+    before, squares = weights.copy(), np.ones_like(weights)
+    maxent.steps(weights, squares, [np.full(50, 3), np.arange(50)], np.zeros(50, np.int64))
+    assert (weights[50:99] == before[50:99]).all() and (weights[:50] != before[:50]).any(1).all() and (weights[99] != before[99]).any()
+
+
+def test_other_words_are_counted_by_class(prose, monkeypatch):
+    """The words beyond the dictionary by their endings, and the coded texts hold four bytes a word."""
+    monkeypatch.setattr(maxent, "DICTIONARY", 250)
+    model, counts, coded = maxent.train(prose, F.lit(True), rounds=0)
+    inside, n, v = {w.as_py() for w in model.words}, np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES)
+    for r in counts.collect():
+        at = int(model.kinds[model.codes(maxent.pa.array([bytes(r["word"])], maxent.pa.large_binary()))][0])
+        n[at], v[at] = n[at] + r["n"], v[at] + 1
+        assert (bytes(r["word"]) in inside) == (at < maxent.SINGLE + maxent.ALIKE)
+    assert (model.class_n == n).all() and (model.class_v == v).all() and n[maxent.SINGLE + maxent.ALIKE :].sum() > 0
+    texts = {r["doc_id"]: tokens(r["text"]) for r in prose.collect()}
+    for r in coded.collect():
+        own = np.frombuffer(r["ids"], "<i4")
+        assert [model.words[int(i)].as_py() if i < len(model.words) else None for i in own] == [w if w in inside else None for w in texts[r["doc_id"]]]
+
+
 def test_small_dictionaries_need_no_groups(prose, monkeypatch):
     """Classes are evened out: each word has an output of its own."""
     monkeypatch.setattr(maxent, "DICTIONARY", 250)

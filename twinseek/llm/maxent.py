@@ -168,38 +168,34 @@ def raised(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out @ one
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    out, total = raised(z)
-    out *= (1 / total)[:, None]
-    return out
-
-
-def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the rows of the features and of the bias, the last row if none is given."""
+def logits(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None, kind: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows of the features and of the bias: the kind's row of bias, or without it the last row of the weights."""
     z = np.take(weights, rows[0], axis=0, mode="clip")
     more = np.empty_like(z)
     for r in rows[1:]:
         z += np.take(weights, r, axis=0, out=more, mode="clip")
-    z += weights[-1] if bias is None else bias
+    z += weights[-1] if bias is None else np.take(bias, kind, axis=0, out=more, mode="clip")
     return z
 
 
 def summed(rows: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of g over each): rows[i] gets g[i % len(g)]; rows are below most.
+    """(distinct rows, sums of g over each): rows[i] gets g[i % len(g)]; rows are below most, and some whole times as many as g.
 
     The first of each row are taken together, then the second, and so on, the most frequent rows first; the last few rows by themselves.
     """
     order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
-    ranked = rows[order]
+    ranked, source = rows[order], np.tile(np.arange(len(g)), len(rows) // len(g))[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     n = np.diff(np.append(first, len(rows)))
     by = np.argsort(-n, kind="stable")
-    first, n, source = first[by], n[by], order % len(g)
+    first, n = first[by], n[by]
     total, k = np.take(g, source[first], axis=0), 1
-    while (left := int(np.searchsorted(-n, -k))) > 24:
+    for left in np.cumsum(np.bincount(n)[::-1])[::-1][2:].tolist():  # rows that occur more than k times
+        if left <= 64:
+            break
         total[:left] += np.take(g, source[first[:left] + k], axis=0)
         k += 1
-    for i in range(left):
+    for i in np.flatnonzero(n[:64] > k):
         total[i] += np.take(g, source[first[i] + k : first[i] + n[i]], axis=0).sum(0)
     return ranked[first], total
 
@@ -213,33 +209,36 @@ def steps(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], targ
     free = len(weights) - (len(allowed) if allowed is not None else 1 if bias is None else 0)
     own_bias = weights[free:] + allowed if allowed is not None else bias
     for lo in range(0, len(target), LOOK):
-        z = logits(weights, [r[lo : lo + LOOK] for r in rows], None if kind is None else own_bias[kind[lo : lo + LOOK]])
-        g[lo : lo + LOOK] = softmax(z)
+        z = logits(weights, [r[lo : lo + LOOK] for r in rows], own_bias, None if kind is None else kind[lo : lo + LOOK])
+        chance, total = raised(z)
+        np.multiply(chance, (1 / total)[:, None], out=g[lo : lo + LOOK])
     g[np.arange(len(g)), target] -= 1
-    at, grad = summed(np.concatenate(rows + ([kind + free] if allowed is not None else [])), g, len(weights))
+    grad = np.zeros_like(weights)
+    at, total = summed(np.concatenate(rows + ([kind + free] if allowed is not None else [])), g, len(weights))
+    grad[at] = total
     if kind is None:
-        at, grad = np.append(at, free), np.concatenate([grad, g.sum(0, keepdims=True)])
-    total = squares[at] + grad * grad
-    squares[at] = total
+        grad[free] = g.sum(0)
+    square = grad * grad
+    squares += square
     grad *= RATE
-    grad /= np.sqrt(total, out=total)
-    weights[at] -= grad
+    grad /= np.sqrt(squares, out=square)
+    weights -= grad
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, each text's first id) of coded texts, some TOKENS ids together or one text."""
     for batch in batches:
-        at = batch.column("ids").offsets.to_numpy().astype(np.int64)
-        lo = 0
+        data, at = text_bytes(batch.column("ids"))
+        ids, at, lo = data.view("<i4"), at // 4, 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + TOKENS, side="right")) - 1)
-            yield batch.slice(lo, hi - lo), batch.column("ids").values.to_numpy()[at[lo] : at[hi]].astype(np.int64), at[lo : hi + 1] - at[lo]
+            yield batch.slice(lo, hi - lo), ids[at[lo] : at[hi]].astype(np.int64), at[lo : hi + 1] - at[lo]
             lo = hi
 
 
 def code(docs: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, trains, ids, other) of docs (doc_id, text, trains), written and read again: the ids of a text's words with
-    END, and its words beyond the dictionary, each with its number. Texts are split into words here for the last time."""
+    END, four bytes each, and its words beyond the dictionary, each with its number. Texts are split into words here for the last time."""
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(vars(model).copy())
 
@@ -248,18 +247,18 @@ def code(docs: DataFrame, model: Model) -> DataFrame:
         for part in chunks(batches):
             distinct, codes, doc = doc_words(part.column("text"))
             ids = model.codes(distinct)
-            own = np.insert(ids[codes], doc[1:], 0).astype(np.int32)
-            places = doc + np.arange(len(doc))
+            own = np.insert(ids[codes], doc[1:], 0).astype("<i4")
+            places = 4 * (doc + np.arange(len(doc)))
             where = np.flatnonzero(np.append(ids, 0)[codes] >= len(model.words))
             owner = np.repeat(np.arange(part.num_rows), np.diff(doc))[where]
             both, tf = np.unique(owner * max(1, len(distinct)) + codes[where], return_counts=True)
             owner, word = both // max(1, len(distinct)), both % max(1, len(distinct))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([distinct.take(pa.array(word)).cast(pa.binary()), pa.array(tf.astype(np.int32))], ["word", "tf"]))
-            yield pa.record_batch({k: part.column(k) for k in ("row", "doc_id", "trains")} | {"ids": pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(own)), "other": lists})
+            yield pa.record_batch({k: part.column(k) for k in ("row", "doc_id", "trains")} | {"ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(places.astype("<i8")), pa.py_buffer(own)]).cast(pa.binary()), "other": lists})
         give_back()
 
     path = new_path(spark, "coded-texts")
-    schema = "row long, doc_id long, trains boolean, ids array<int>, other array<struct<word: binary, tf: int>>"
+    schema = "row long, doc_id long, trains boolean, ids binary, other array<struct<word: binary, tf: int>>"
     docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "trains", "text").select("row", "doc_id", "trains", "text").mapInArrow(run, schema).write.parquet(path)
     told.destroy()
     return spark.read.schema(schema).parquet(path)
@@ -277,11 +276,13 @@ def beside(coded_: DataFrame, model: Model) -> np.ndarray:
         for part, own, doc in texts_of(batches):
             owner = np.repeat(np.arange(part.num_rows), np.diff(doc))
             near = np.flatnonzero((own > 0) & (own <= most))
+            cells = []
             for k in (-2, -1, 1, 2):
                 at = near[(near + k >= 0) & (near + k < len(own))]
                 at = at[owner[at + k] == owner[at]]
                 at = at[own[at + k] < n]
-                seen += np.bincount(own[at + k] * CONTEXT + own[at] - 1, minlength=len(seen))
+                cells.append(own[at + k] * CONTEXT + own[at] - 1)
+            seen += np.bincount(np.concatenate(cells), minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.record_batch({"cell": pa.array(at), "n": pa.array(seen[at])})
 
@@ -418,19 +419,23 @@ def train(docs: DataFrame, train_where, rounds: int = ROUNDS) -> tuple[Model, Da
     make_classes(model, beside(coded_.filter("trains"), model))
     model.ending = np.arange(4096) % ALIKE
     make_outputs(model)
-    told = spark.sparkContext.broadcast(vars(model).copy())
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, n, v = Model.of(told.value), np.zeros(CLASSES), np.zeros(CLASSES)
+    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(ALIKE), np.zeros(ALIKE)
         for batch in batches:
-            cls = model.kinds[model.codes(batch.column("word").cast(pa.large_binary()))]
-            n += np.bincount(cls, weights=batch.column("n").to_numpy(), minlength=CLASSES)
-            v += np.bincount(cls, minlength=CLASSES)
-        yield pa.record_batch({"cls": pa.array(np.arange(CLASSES)), "n": pa.array(n), "v": pa.array(v)})
-
-    model.class_n, model.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(by_class, "cls long, n double, v double").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        model.class_n[r["cls"]], model.class_v[r["cls"]] = r["n"], r["v"]
+            kind = ending[endings(*text_bytes(batch.column("word")))]
+            n += np.bincount(kind, weights=batch.column("n").to_numpy(), minlength=ALIKE)
+            v += np.bincount(kind, minlength=ALIKE)
+        yield pa.record_batch({"kind": pa.array(np.arange(ALIKE)), "n": pa.array(n), "v": pa.array(v)})
+
+    # Of all words by their endings, those that are not in the dictionary.
+    ending, own = model.ending, np.flatnonzero(model.counts)
+    model.class_n, model.class_v = (np.bincount(model.cls[own], weights=w, minlength=CLASSES) for w in (model.counts[own], np.ones(len(own))))
+    for r in counts.mapInArrow(by_ending, "kind long, n double, v double").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        known = own[model.other_class(model.words.take(pa.array(own))) == r["kind"]]
+        at = SINGLE + ALIKE + r["kind"]
+        model.class_n[at], model.class_v[at] = r["n"] - model.counts[known].sum(), r["v"] - len(known)
+    told = spark.sparkContext.broadcast(vars(model).copy())
     outer, inner = np.zeros((ROWS + 1, CLASSES), np.float32), np.zeros((ROWS + ALIKE, OUTPUTS), np.float32)
     outer[-1] = np.log(model.class_n + 1) - np.log(model.class_n.sum() + CLASSES)
     inner[ROWS:] = np.log(np.maximum(model.out_n, 1)) - np.log(np.maximum(model.out_n.sum(1, keepdims=True), 1))
@@ -497,14 +502,13 @@ def chances(model: Model, own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     out = np.empty(len(own))
     for lo in range(0, len(own), LOOK):
         out[lo : lo + LOOK] = log_chances(logits(model.outer, [r[lo : lo + LOOK] for r in rows]), kind[lo : lo + LOOK])
-    at = np.flatnonzero((kind >= SINGLE) & (kind < SINGLE + ALIKE))
+    at, bias = np.flatnonzero((kind >= SINGLE) & (kind < SINGLE + ALIKE)), model.inner[ROWS:] + model.allowed
     for lo in range(0, len(at), LOOK):
         some = at[lo : lo + LOOK]
-        bias = (model.inner[ROWS:] + model.allowed)[kind[some] - SINGLE]
-        out[some] += log_chances(logits(model.inner, [r[some] for r in within], bias), model.out[own[some]])
+        out[some] += log_chances(logits(model.inner, [r[some] for r in within], bias, kind[some] - SINGLE), model.out[own[some]])
     for place, under, node, branch in model.steps_below(own, before, LOOK):
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        out[place[first]] += np.add.reduceat(log_chances(logits(model.below, under, model.node_bias[node]), branch), first)
+        out[place[first]] += np.add.reduceat(log_chances(logits(model.below, under, model.node_bias, node), branch), first)
     at = np.flatnonzero(kind >= SINGLE + ALIKE)
     out[at] -= np.log10(model.class_n + model.class_v + 1)[kind[at]]
     return out
