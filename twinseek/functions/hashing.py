@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
 
+def words_of(text: str) -> list[str]:
+    """word_tokens() of a plain value."""
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
 def simhash(rows: DataFrame, key: str, features: Column) -> DataFrame:
     """(key, simhash): bitwise majority of the features' hashes as a decimal string; 0 without features.
 
