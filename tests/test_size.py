@@ -15,7 +15,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["graph_neighbours", "graph_edges"])
+@pytest.mark.parametrize("name", ["graph_neighbours", "graph_edges", "graph_control"])
 def test_graphs_stay_where_they_are_made(spark, name):
     """A function's graph needs no window, join or grouping over all edges."""
     text = plan(catalogue.QUERIES[name](spark, SF))
