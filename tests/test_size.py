@@ -1,11 +1,12 @@
 """What queries must not do if they are to grow with their input: deal rows anew, hold all of a batch, repeat work."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from twinseek.operators import graph
+from twinseek.operators import graph, vectors
 from twinseek.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,18 @@ def test_graphs_of_one_function_are_those_of_the_table(spark):
         assert len(graph.distinct_in(own)) == len(distinct[key])
     system = spark.createDataFrame([(n,) for n in names + [None, "　"]], "c string").select("c", graph.system_code(F.col("c"))).collect()
     assert all(graph.is_system(c) == is_system for c, is_system in system)
+
+
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_second_vectors_are_not_joined_to_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(vectors, "SENT", sent)
+    monkeypatch.setattr(vectors, "HELD", 2)
+    rows = [(1, [1.0, 0.2]), (2, [0.9, 0.1]), (3, [1.0, 0.2]), (4, [0.0, 0.0]), (5, [0.5, 0.5]), (6, [3.0, 0.6])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.2], [1.0, 0.2]), (2, [0.9, 0.1], None), (5, [0.5, 0.5], [0.0, 1.0])], "id long, v array<double>, beside array<double>")
+    found = vectors.similar(asked, table, threshold=0.5, beside=True)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["id"]): r for r in found.collect()}
+    assert set(got) == {(q, i) for q in (1, 2, 5) for i in (1, 2, 3, 5, 6) if q != i}
+    assert all(r["beside"] == r["similarity"] for (q, _), r in got.items() if q == 1) and all(r["beside"] is None for (q, _), r in got.items() if q == 2)
+    assert got[5, 1]["beside"] == pytest.approx(0.2 / math.hypot(1, 0.2))
