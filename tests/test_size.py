@@ -50,6 +50,19 @@ def test_graphs_of_one_function_are_those_of_the_table(spark):
     assert all(graph.is_system(c) == is_system for c, is_system in system)
 
 
+@pytest.mark.parametrize("held", [8192, 3])
+def test_pairs_of_vectors_are_counted_once(spark, monkeypatch, held):
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(rng.choice([3, 3, 4]))], rng.choice([0, 1, None])) for i in range(30)] + [(99, None, 1), (98, [float("nan"), 1.0, 1.0], 1)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)) if any(a) and any(b) and len(a) == len(b) else -9
+    pairs = [(a, b) for a in rows[:30] for b in rows[:30] if a[0] < b[0] and cos(a[1], b[1]) >= 0.35 and None not in (a[2], b[2])]
+    got = vectors.pair_counts(spark.createDataFrame(rows, "id long, v array<double>, label int"), 0.35)
+    assert tuple(got.first()) == (sum(a[2] == b[2] for a, b in pairs), sum(a[2] != b[2] for a, b in pairs))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text and "Join" not in text
+
+
 @pytest.mark.parametrize("sent", [50_000, 0])
 def test_second_vectors_are_not_joined_to_pairs(spark, monkeypatch, sent):
     monkeypatch.setattr(vectors, "SENT", sent)
