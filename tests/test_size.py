@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from twinseek.functions import abstraction, lines, text
 from twinseek.operators import graph, vectors
 from twinseek.plans import catalogue
 
@@ -50,6 +52,34 @@ def test_graphs_of_one_function_are_those_of_the_table(spark):
     assert all(graph.is_system(c) == is_system for c, is_system in system)
 
 
+@pytest.mark.parametrize("few", [0, 12])
+def test_names_are_replaced_alike_by_either_way(monkeypatch, few):
+    monkeypatch.setattr(abstraction, "FEW", few)
+    rng = random.Random(9)
+    for _ in range(400):
+        code = "".join(rng.choice(["of", "in", "L", "of", "_", "é", " ", ".", "\n", "o"]) for _ in range(rng.randrange(20)))
+        want = code
+        for name in ("of", "in", "L"):
+            want = re.sub(rf"(^|\W){name}(\W)", r"\g<1>L\g<2>", want)
+        assert abstraction.in_turn(code, ["of", "in", "L"], "L") == want
+
+
+def test_texts_reach_python_in_small_packs(spark):
+    """What a batch of texts takes must not grow with the rows of a partition."""
+    rows = spark.range(4000, numPartitions=1).select(F.concat(F.lit("x of "), F.col("id").cast("string")).alias("s"))
+    for made in (abstraction.rename_tokens(F.col("s")), abstraction.line_map(F.col("s"), F.col("s")), abstraction.replace_in_turn(F.col("s"), F.array(F.lit("of")), "P")):
+        assert "ArrowEvalPython" not in rows.select(made)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_lines_are_those_of_columns(spark):
+    rng = random.Random(4)
+    parts = ["{{a long line of code }", "// gone", "/* gone */", "'a // stays' and more", '"x /* y"', "\n", "\n", " ", "\t", "\x1f", "　", "}", "\\", "Ü and ΑΣ ", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(300)] + ["", "{}{}", "\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", lines.line_set(F.col("s"), 3), lines.line_list(F.col("s"), 3), text.strip_comments(F.col("s"))).collect()
+    for s, line_set, line_list, bare in rows:
+        assert (line_set, line_list, bare) == (lines.set_of(s, 3), lines.list_of(s, 3), text.bare(s))
+
+
 @pytest.mark.parametrize("held", [8192, 3])
 def test_pairs_of_vectors_are_counted_once(spark, monkeypatch, held):
     monkeypatch.setattr(vectors, "HELD", held)
