@@ -106,3 +106,10 @@ def test_second_vectors_are_not_joined_to_pairs(spark, monkeypatch, sent):
     assert set(got) == {(q, i) for q in (1, 2, 5) for i in (1, 2, 3, 5, 6) if q != i}
     assert all(r["beside"] == r["similarity"] for (q, _), r in got.items() if q == 1) and all(r["beside"] is None for (q, _), r in got.items() if q == 2)
     assert got[5, 1]["beside"] == pytest.approx(0.2 / math.hypot(1, 0.2))
+
+
+@pytest.mark.parametrize("name", ["signature_summary"])
+def test_signatures_are_made_once_in_small_packs(spark, name):
+    """One pass of Python over a flaw's texts: no Arrow batches of them, and no patterns that are applied anew for every use."""
+    made = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in made and "regexp" not in made
