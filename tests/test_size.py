@@ -108,7 +108,7 @@ def test_second_vectors_are_not_joined_to_pairs(spark, monkeypatch, sent):
     assert got[5, 1]["beside"] == pytest.approx(0.2 / math.hypot(1, 0.2))
 
 
-@pytest.mark.parametrize("name", ["signature_summary"])
+@pytest.mark.parametrize("name", ["signature_summary", "signature_parts"])
 def test_signatures_are_made_once_in_small_packs(spark, name):
     """One pass of Python over a flaw's texts: no Arrow batches of them, and no patterns that are applied anew for every use."""
     made = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
