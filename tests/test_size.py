@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions import abstraction, lines, text
 from twinseek.operators import graph, vectors
-from twinseek.plans import catalogue
+from twinseek.plans import catalogue, code_queries, detection
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,8 +108,24 @@ def test_second_vectors_are_not_joined_to_pairs(spark, monkeypatch, sent):
     assert got[5, 1]["beside"] == pytest.approx(0.2 / math.hypot(1, 0.2))
 
 
-@pytest.mark.parametrize("name", ["signature_summary", "signature_parts"])
+@pytest.mark.parametrize("name", ["signature_summary", "signature_parts", "signatures_roundtrip"])
 def test_signatures_are_made_once_in_small_packs(spark, name):
     """One pass of Python over a flaw's texts: no Arrow batches of them, and no patterns that are applied anew for every use."""
-    made = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    made = ({**catalogue.QUERIES, "signatures_roundtrip": code_queries._signed}[name])(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in made and "regexp" not in made
+
+
+def test_signatures_of_one_function_are_those_of_columns(spark):
+    """What is written and read again is what the parts' own column functions say."""
+    rng = random.Random(6)
+    some = ["if (total > limit_of(x)) {", "// of the comment here", "copy_all(buffer, of the total);", "return of the that and is;", "{ int total_count = 0; }", "'a // literal of the'", ""]
+    rows = [(i, *("\n".join(rng.choice(some) for _ in range(rng.randrange(9))) for _ in range(3)), ["if (total > limit_of(x", None]) for i in range(60)]
+    functions = spark.createDataFrame(rows, "sig_id int, fo string, fd string, fp string, dependencies array<string>")
+    got = {r["sig_id"]: r for r in detection.signatures(functions, code_queries.fixed_abstract).collect()}
+    sets = functions.select("sig_id", *(lines.line_set(F.col(c)).alias(c) for c in ("fo", "fd", "fp")))
+    fo, fd, fp = (F.col(c) for c in ("fo", "fd", "fp"))
+    for r in sets.select("sig_id", lines.essential_vulnerable(fo, fd, fp).alias("ev"), lines.essential_patch(fo, fd, fp).alias("ep"), lines.context(fo, fd).alias("around")).collect():
+        mine = got[r["sig_id"]]
+        assert [x["norm"] for x in mine["ev"]] == r["ev"] and [x["norm"] for x in mine["ep"]] == r["ep"]
+        assert [x["norm"] for x in mine["dv"]] == ([x for x in r["around"] if "if(total>limit_of(x" in x] if r["ev"] else []) and mine["n_dv"] == len(mine["dv"])
+        assert mine["processing_status"] == ("success" if r["ev"] or r["ep"] else "failed") and not set(mine["sv"]) & set(mine["sp"])
