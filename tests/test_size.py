@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions import abstraction, lines, text
-from twinseek.operators import graph, vectors
+from twinseek.operators import graph, match, vectors
 from twinseek.plans import catalogue, code_queries, detection
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +129,19 @@ def test_signatures_of_one_function_are_those_of_columns(spark):
         assert [x["norm"] for x in mine["ev"]] == r["ev"] and [x["norm"] for x in mine["ep"]] == r["ep"]
         assert [x["norm"] for x in mine["dv"]] == ([x for x in r["around"] if "if(total>limit_of(x" in x] if r["ev"] else []) and mine["n_dv"] == len(mine["dv"])
         assert mine["processing_status"] == ("success" if r["ev"] or r["ep"] else "failed") and not set(mine["sv"]) & set(mine["sp"])
+
+
+def test_sets_with_a_common_line_do_not_all_meet(spark):
+    """Sets of a common line and one of their own cannot be alike by half, and meet none but themselves."""
+    sets = spark.createDataFrame([(i, ["license", f"own {i}"]) for i in range(200)], "id int, lines array<string>")
+    assert {tuple(r) for r in match.near_sets(sets, sets, 0.5).collect()} == {(i, i) for i in range(200)}
+
+
+def test_equal_targets_are_compared_once(spark):
+    """Of equal signatures, and equal targets, one is compared; all are told."""
+    signs = spark.createDataFrame([(i, ["a"], ["z"], [["a", "b"], ["b"]]) for i in range(5)], "sig_id int, sv array<string>, sp array<string>, refs array<array<string>>")
+    targets = spark.createDataFrame([(i, ["b", "a"][:: 1 if i % 2 else -1]) for i in range(7)] + [(7, ["a", "b", "z"])], "target_id int, lines array<string>")
+    for theta in (0.5, 0.0):
+        assert sorted(map(tuple, match.best_match(signs, targets, theta).collect())) == [(s, t, 1.0) for s in range(5) for t in range(7)]
+    _, _, sign_classes, target_classes = match._classes(signs, targets)
+    assert [r["w"] for r in sign_classes.collect()] == [5] and sorted(r["w"] for r in target_classes.collect()) == [1, 7]
