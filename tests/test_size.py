@@ -153,3 +153,28 @@ def test_conditions_are_asked_of_all_flaws(spark):
     ids = {r[0] for r in signed.select("sig_id").collect()}
     docs = {r[0] for r in catalogue.table(spark, SF, "documents").select("doc_id").collect()}
     assert ids == {d for d in docs if d + 1 in docs and d + 2 in docs} and "% 20" not in code_queries.ORACLE_SQL["detection_conditions"]
+
+
+@pytest.mark.parametrize("common", [1, 8, 1024])
+def test_conditions_are_those_of_all_pairs(spark, monkeypatch, common):
+    """Common lines are counted by the sets of them that targets have, whatever counts as common."""
+    monkeypatch.setattr(match, "COMMON", common)
+    rng = random.Random(common)
+    names = [f"line {i}" for i in range(9)]
+    some = lambda n: rng.sample(names, min(rng.randrange(n), 1 + int(rng.expovariate(1))))
+    signs = []
+    for i in range(50):
+        sv = some(4)
+        signs.append((i % 45, sv, [x for x in some(5) if x not in sv], some(8), some(8)))
+    targets = [(i, some(9)) for i in range(70)]
+    signed = spark.createDataFrame(signs, "sig_id int, sv array<string>, sp array<string>, fo array<string>, fd array<string>")
+    there = spark.createDataFrame(targets, "target_id int, lines array<string>")
+    for theta in (0.5, 0.3, 0.0):
+        want = [0, 0, 0, 0]
+        for _, sv, sp, *refs in signs:
+            for _, own in targets:
+                score = max(len(set(ref) & set(own)) / len(set(ref) | set(own)) if ref else 0.0 for ref in refs)
+                first, second, third = set(sv) <= set(own), not set(sp) & set(own), score >= theta
+                for i, held in enumerate((sv and first, sp and second, third, third and (first if not sp else second if not sv else first and second))):
+                    want[i] += bool(held)
+        assert list(match.condition_counts(signed, there, theta).first()) == want
