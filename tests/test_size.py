@@ -178,3 +178,20 @@ def test_conditions_are_those_of_all_pairs(spark, monkeypatch, common):
                 for i, held in enumerate((sv and first, sp and second, third, third and (first if not sp else second if not sv else first and second))):
                     want[i] += bool(held)
         assert list(match.condition_counts(signed, there, theta).first()) == want
+
+
+def test_preprocessed_texts_are_those_of_columns(spark):
+    rng = random.Random(8)
+    parts = ["IF", "If", "if", "iF_x", "String", "éIF", " ", "\t", "\n", "\n \n", "\x1f", "　", "//c", "# d", "/* e\n*/", '"""f\n"""', "'''g'''", "KelvinK", "BREAK", "9IN"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "\n\n\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.standardize_whitespace(F.col("s")), text.preprocess(F.col("s"), batch=True), text.normalize_case(F.col("s"))).collect()
+    for s, spaced, whole, cased in rows:
+        assert (text.spaced(s), text.cased(text.spaced(text.without_comments(s))), text.cased(s)) == (spaced, whole, cased)
+
+
+def test_runs_of_tokens_are_dealt_before_they_are_counted(spark):
+    """No table of a task's own runs: all steps of counting come after the exchange."""
+    steps = [line for line in catalogue.QUERIES["token_shingles"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate" in line or "Exchange" in line]
+    assert "Exchange" in steps[-1] and all("HashAggregate" in line for line in steps[:-1])
+    rows = catalogue.QUERIES["preprocessed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in rows and "BatchEvalPython" in rows
