@@ -197,7 +197,7 @@ def test_runs_of_tokens_are_dealt_before_they_are_counted(spark):
     assert "ArrowEvalPython" not in rows and "BatchEvalPython" in rows
 
 
-@pytest.mark.parametrize("name", ["line_jaccard_pairs"])
+@pytest.mark.parametrize("name", ["line_jaccard_pairs", "signature_match"])
 def test_line_sets_are_made_once(spark, name):
     """What is joined are digests from files, never the documents' texts."""
     assert not any("documents" in f for f in catalogue.QUERIES[name](spark, SF).inputFiles())
